@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from knitwork.llm.common import documents
+from knitwork.llm import exact_dedup
 from knitwork.llm.packing import pack_best_fit
+from knitwork.llm.personal_data import personal_data_digest
 from knitwork.llm.token_store import token_round_trip
 from knitwork.llm.tokens import tokenizer_path
 
@@ -16,13 +18,25 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(documents(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_decisions(documents(spark, sf_dir), digest_all=True)
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_personal_data": op6_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
+}
