@@ -10,6 +10,7 @@ from knitwork.llm.common import documents
 from knitwork.llm import exact_dedup
 from knitwork.llm.packing import pack_best_fit
 from knitwork.llm.personal_data import personal_data_digest
+from knitwork.llm.simhash import near_duplicates
 from knitwork.llm.token_store import token_round_trip
 from knitwork.llm.tokens import tokenizer_path
 
@@ -26,6 +27,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(documents(spark, sf_dir))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_personal_data": op6_personal_data,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
