@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knitwork.llm.common import cut_lineage, whole_text
-from knitwork.llm.tokens import WordEncoder, grouped
+from knitwork.llm.tokens import grouped, shared_encoder
 
 #: Parts that ranks within one length are dealt over; a length may hold a third of all rows.
 RANK_PARTS = 64
@@ -69,7 +69,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end, step = WordEncoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        encoder, end, step = shared_encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             own, at = batch.column(0).to_pylist(), 0
             for group in grouped(batch.column(1).to_pylist()):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.llm.common import in_id_order, scratch_path, whole_text
-from knitwork.llm.tokens import WordEncoder, grouped
+from knitwork.llm.tokens import grouped, shared_encoder
 
 MAGIC = b"KWT1"
 SEGMENT_SCHEMA = "shard int, seq int, first_id long, n_docs long, n_ids long, blob binary"
@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, encoder, end = TaskContext.get().partitionId(), WordEncoder(tokenizer), struct.pack("<I", end_id)
+        shard, encoder, end = TaskContext.get().partitionId(), shared_encoder(tokenizer), struct.pack("<I", end_id)
         seq = first = size = 0
         doc_ids: list[int | None] = []
         parts: list[bytes] = []

@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 #: Entries a worker keeps in each of two generations, so its memory stays bounded.
 CACHE_LIMIT = 250_000
@@ -90,6 +91,12 @@ class WordEncoder:
         return [self.encode_one(t) for t in texts]
 
 
+@cache
+def shared_encoder(path: str) -> WordEncoder:
+    """The worker process's encoder: its caches stay warm from one task to the next."""
+    return WordEncoder(path)
+
+
 def grouped(texts: list[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
     """The texts in order, in groups of about ``chars`` characters."""
     begin, size = 0, 0
