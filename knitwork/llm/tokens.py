@@ -71,7 +71,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._alphabet = byte_alphabet()
-        self._words = _Cache(self._word, limit)
+        self._words = _Cache(self._word, limit // 4)
         self._chunks = _Cache(self._chunk, limit)
 
     def _word(self, word: str) -> bytes:
@@ -80,6 +80,13 @@ class WordEncoder:
         return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        """Of a plain chunk. Capitals and a closing mark are taken off first: the bare word is
+        mostly known already."""
+        if chunk.isalpha():
+            low = chunk.lower()
+            return self._word(low) if low == chunk else self._chunks[low]
+        if chunk[-1] in ".," and chunk[-2:-1].isalnum():
+            return self._chunks[chunk[:-1]] + self._words[chunk[-1]]
         return b"".join(map(self._words.__getitem__, _WORD.findall(chunk.lower())))
 
     def encode_one(self, text: str) -> bytes:
