@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knitwork.llm.common import documents
-from knitwork.llm import exact_dedup
+from knitwork.llm.common import documents, read_table
+from knitwork.llm import class_ngrams, exact_dedup
 from knitwork.llm.packing import pack_best_fit
 from knitwork.llm.personal_data import personal_data_digest
 from knitwork.llm.simhash import near_duplicates
 from knitwork.llm.token_store import token_round_trip
 from knitwork.llm.tokens import tokenizer_path
+from knitwork.llm.toxicity import toxicity
 
 
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op3_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.score_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_class_ngrams": op3_class_ngrams,
     "op2_token_planes": op2_token_planes,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_personal_data": op6_personal_data,

@@ -41,7 +41,7 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
+class BoundedCache(dict):
     """Fills itself on a miss. At the limit the entries become the old generation, from which
     those still in use come back without being computed again."""
 
@@ -71,8 +71,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._alphabet = byte_alphabet()
-        self._words = _Cache(self._word, limit // 4)
-        self._chunks = _Cache(self._chunk, limit)
+        self._words = BoundedCache(self._word, limit // 4)
+        self._chunks = BoundedCache(self._chunk, limit)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
