@@ -150,7 +150,8 @@ def exchange(table: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             pairs[c] -= out
             pairs[:, c] -= into
             pairs[c, c] -= self_
-            left, right = pairs.sum(axis=1), pairs.sum(axis=0)
+            # the item's neighbours keep their own class wherever it goes
+            left, right = pairs.sum(axis=1) + into, pairs.sum(axis=0) + out
             gain = (_xlogx(pairs + out) - _xlogx(pairs)).sum(axis=1) + (_xlogx(pairs + into[:, None]) - _xlogx(pairs)).sum(axis=0)
             d = np.diag(pairs)
             # on the diagonal both sums and the item's own pairs meet in one cell

@@ -173,6 +173,8 @@ class Scorer:
     def calibrate(self, toxic: list[str], ordinary: list[str]) -> None:
         """The threshold and weights with the least logistic loss on the training rows; each class
         weighs as much as it has rows, and the weights are ridge-penalised (Newton's method)."""
+        if not toxic or not ordinary:
+            return
         windows = [self.differences(t) for t in [*toxic, *ordinary]]
         y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
         least = math.inf
