@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from knitwork.llm.common import documents, read_table
-from knitwork.llm import class_ngrams, exact_dedup
+from knitwork.llm import class_ngrams, exact_dedup, imatch
 from knitwork.llm.packing import pack_best_fit
 from knitwork.llm.personal_data import personal_data_digest
 from knitwork.llm.simhash import near_duplicates
@@ -32,6 +32,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_with_edits(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_personal_data": op6_personal_data,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_imatch": op9_imatch,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
