@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knitwork.llm.common import documents, read_table
 from knitwork.llm import class_ngrams, exact_dedup, imatch
+from knitwork.llm.html_text import extract_pages
 from knitwork.llm.packing import pack_best_fit
 from knitwork.llm.personal_data import personal_data_digest
 from knitwork.llm.simhash import near_duplicates
@@ -32,6 +33,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_with_edits(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_personal_data": op6_personal_data,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_html_text": op8_html_text,
     "op9_imatch": op9_imatch,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
