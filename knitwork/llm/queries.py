@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from knitwork.llm.common import documents, read_table
-from knitwork.llm import class_ngrams, exact_dedup, imatch
+from knitwork.llm import class_ngrams, exact_dedup, imatch, mixing
 from knitwork.llm.html_text import extract_pages
 from knitwork.llm.packing import pack_best_fit
 from knitwork.llm.personal_data import personal_data_digest
@@ -21,6 +21,10 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(documents(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir), max_repeats=2.0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_decisions(documents(spark, sf_dir), digest_all=True)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_class_ngrams": op3_class_ngrams,
     "op2_token_planes": op2_token_planes,
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_personal_data": op6_personal_data,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -66,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_temperature_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
