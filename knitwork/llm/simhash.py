@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows whose id is the smallest of their component; all columns. Rows without an id stay."""
-    spark_id = F.col(id_col).cast("long")
-    gone = near_duplicates(docs, id_col, text_col, width).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, spark_id == F.col("__gone"), "left_anti")
+    """The rows whose id is the smallest of their component; all columns. Rows without an id stay,
+    and so do all rows of an id that repeats if one of them stays."""
+    found = near_duplicates(docs, id_col, text_col, width).filter("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
