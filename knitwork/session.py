@@ -43,9 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written to the shared folder and read again: they survive the loss of any executor,
+    and unlike a checkpoint's the new plan has no constraints or estimates of the old one, which
+    pile up over the rounds of a loop."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
