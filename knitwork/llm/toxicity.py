@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,7 +152,7 @@ class Scorer:
                         return _code(word[:n])
                 return xxh64_digest(word, 3)[:2]
 
-            self._ready = (*made, BoundedCache(write, 200_000))
+            self._ready = (*made, BoundedCache(write, 80_000))
         return self._ready
 
     def differences(self, text: str) -> np.ndarray:
@@ -228,7 +229,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = sent.value
+        own = copy(sent.value)  # its caches go with the task
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t) for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
@@ -250,7 +251,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), te
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = sent.value
+        own = copy(sent.value)  # its caches go with the task
         for batch in batches:
             keep = [own.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
