@@ -142,17 +142,28 @@ def _row(own: Fingerprinter, doc: int | None, text: str, parts: dict[str, bytes]
 def fingerprint_with_edits(docs: DataFrame, band: Band = Band(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and both likenesses.
 
-    The next document is by ascending id, then text (null ids first, null texts empty), the first
-    after the last; a single row is its own next. Repeated rows follow one another. An empty table
+    The next document is by ascending id, then the text's MD5 (null ids first, null texts empty),
+    the first after the last; a single row is its own next. Repeated rows follow one another. An empty table
     gives no rows; other columns are ignored. Ids ascend over range partitions, each read as a
     stream; the last row of a partition meets the first one of the next in a second, small step."""
     spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(lexicon(docs, band, text_col))
 
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = [press(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "tie", "packed"])
+
     def stream(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
+        unpack = zstandard.ZstdDecompressor().decompress
         part, own, held, head, out = TaskContext.get().partitionId(), Fingerprinter(terms.value, band), None, None, []
 
         def flush() -> pa.RecordBatch:
@@ -162,7 +173,8 @@ def fingerprint_with_edits(docs: DataFrame, band: Band = Band(), id_col: str = "
 
         schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("text", pa.string()), *[(n, t) for n, t in (("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))]])
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = unpack(packed).decode("utf-8", "surrogatepass")
                 parts = own(text)
                 if held is None:
                     head = text
@@ -179,7 +191,9 @@ def fingerprint_with_edits(docs: DataFrame, band: Band = Band(), id_col: str = "
 
     path = scratch_path(spark, "fingerprints")
     schema = f"part int, kind string, doc_id long, text string, {RESULT.split(', ', 1)[1]}"
-    ordered = in_id_order(docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")), "id", "text")
+    # texts cross the shuffle compressed, as the frequencies' shuffle is still on disk then
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(whole_text(text_col).cast("binary")).alias("tie"), whole_text(text_col).alias("text"))
+    ordered = in_id_order(rows.mapInArrow(pack, "id long, tie string, packed binary"), "id", "tie")
     ordered.mapInArrow(stream, schema).write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(schema).parquet(path)
     done = stored.filter("kind = 'done'").select(*[x.split()[0] for x in RESULT.split(", ")])
