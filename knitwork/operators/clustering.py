@@ -80,7 +80,7 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, config: ClusterCo
     strong = edges.filter(F.col("match_probability") >= config.merge_probability).select("left_uid", "right_uid", "match_probability")
     found = connected_components(strong, "left_uid", "right_uid").select(F.col("id").alias("uid"), "component")
     rows = records.join(found, "uid").select("component", "uid", text(F.col("source_id")).alias("source_id"), F.lower(text(F.col("brand"))).alias("brand"), model_families(F.array(text(F.col("model_number")))).alias("families"), text(F.col("screen")).alias("screen"), text(F.col("resolution")).alias("resolution"))
-    linked = strong.join(found.withColumnRenamed("uid", "left_uid"), "left_uid").select("component", "left_uid", "right_uid", "match_probability")
+    linked = strong.join(found.withColumnRenamed("uid", "left_uid"), "left_uid").select(F.col("component").alias("linked_component"), "left_uid", "right_uid", "match_probability")
 
     def merge(left, right):
         import pandas as pd
@@ -90,7 +90,7 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, config: ClusterCo
         return pd.DataFrame(out, columns=["uid", "cluster_root", "left_uid", "right_uid", "match_probability", "decision", "reason", "roots"])
 
     schema = "uid string, cluster_root string, left_uid string, right_uid string, match_probability double, decision string, reason string, roots string"
-    merged = rows.groupBy("component").cogroup(linked.groupBy("component")).applyInPandas(merge, schema)
+    merged = rows.groupBy("component").cogroup(linked.groupBy("linked_component")).applyInPandas(merge, schema)
     from knitwork.session import cut_lineage
 
     merged = cut_lineage(merged)
