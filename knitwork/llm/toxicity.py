@@ -47,7 +47,7 @@ class Limits:
     sample_bytes: int = 16_384
     stem_bytes: int = 10
     window_words: int = 24
-    cover: int = 4
+    cover: int = 12
     min_docs: int = 4
     log_odds: float = 3.5
     shared: int = 256
@@ -78,7 +78,7 @@ def choose_stems(own: list[set[bytes]], other: Counter, n_other: int, limits: Li
     n = len(own)
     share = n / max(n + n_other, 1)
     # nats by which a count must be more one-sided than chance, for all candidates together
-    surprise = math.log(max(len(counts), 1)) + 5
+    surprise = math.log(max(sum(v >= limits.min_docs for v in counts.values()), 1)) + 2
 
     def tells(s: bytes) -> bool:
         a, b = counts[s], other[s]
