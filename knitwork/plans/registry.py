@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from knitwork.functions import text as T
 from knitwork.functions import values as V
-from knitwork.operators import blocking, clustering, components, fusion, matching, profile, routing, schema_align, subset
+from knitwork.operators import blocking, clustering, components, decisions, fusion, matching, profile, report, routing, schema_align, subset
 from knitwork.plans.integration import integrate
 from knitwork.session import cut_lineage, read_table
 from knitwork.sources import readers
@@ -153,7 +153,7 @@ select source_id, attribute, count(*) as non_null, count(*) / max(records)::doub
   min(length(value)) as length_min, avg(length(value)) as length_avg, max(length(value)) as length_max, min(case when attribute in ('price', 'size') then value::double end) as number_min,
   round(avg(case when attribute in ('price', 'size') then value::double end), 6) as number_avg, max(case when attribute in ('price', 'size') then value::double end) as number_max from v, n group by 1, 2""")
 def profile_attributes(spark, sf_dir):
-    return profiles(spark, sf_dir).select("source_id", "attribute", "non_null", "non_null_rate", "cardinality", "uniqueness_rate", "length_min", "length_avg", "length_max", "number_min", F.round("number_avg", 6).alias("number_avg"), "number_max")
+    return profiles(spark, sf_dir).select("source_id", "attribute", "non_null", "non_null_rate", "cardinality", "uniqueness_rate", F.col("length_min").cast("long").alias("length_min"), "length_avg", F.col("length_max").cast("long").alias("length_max"), "number_min", F.round("number_avg", 6).alias("number_avg"), "number_max")
 
 
 @query("profile_values", f"""with {VALUES}, c as (select attribute, value, count(*) as n, min(ord) as o from v group by all), r as (select *, row_number() over (partition by attribute order by n desc, o, value) as k from c),
@@ -650,6 +650,67 @@ def integration_run(spark, sf_dir):
     return integrate(spark, part_records(spark, sf_dir))["entities"]
 
 
+# --- provider decisions and reports
+
+
+@query("linkage_decisions", f"""with {CASES}, a as (select *, case when match_probability >= 0.5 then 1 else 0 end as d, greatest(0.55, least(0.9, abs(match_probability - 0.5) + 0.5)) as conf, case when match_probability >= 0.6 then 1 else 0 end as before from cases)
+select case_id, case when route_ord % 17 = 0 then 'invalid_output' when conf < 0.72 then 'low_confidence' end as fallback_reason, case when route_ord % 17 = 0 or conf < 0.72 then before else d end as prediction from a""")
+def linkage_decisions(spark, sf_dir):
+    c = cases(spark, sf_dir).withColumn("response", F.when(F.col("route_ord") % 17 == 0, F.lit('{"decision": "maybe"}')).otherwise(decisions.stand_in("linkage")))
+    c = c.withColumn("parsed", decisions.parse(F.col("response"), "linkage")).withColumn("prediction", (F.col("match_probability") >= 0.6).cast("int"))
+    return decisions.decide_linkage(c).select("case_id", "fallback_reason", "prediction")
+
+
+@query("fusion_decisions", f"with {CLAIMS} select entity_id, attribute, list_sort(string_split(alternatives, ','))[1] as first_allowed, case when list_sort(string_split(alternatives, ','))[1] = selected_value then null else 'unsupported_value' end as fallback_reason, selected_value from fused")
+def fusion_decisions(spark, sf_dir):
+    claims_ = order_claims(spark, sf_dir)
+    c = decisions.allowed_outputs(fusion.fuse(claims_), claims_).withColumnRenamed("supporting_claim_ids", "default_supporting").withColumnRenamed("contradicting_claim_ids", "default_contradicting")
+    c = c.withColumn("parsed", decisions.parse(decisions.stand_in("fusion"), "fusion"))
+    return decisions.decide_fusion(c).select("entity_id", "attribute", F.get("allowed", F.lit(0)).alias("first_allowed"), "fallback_reason", "selected_value")
+
+
+@query("daily_usage", "select count(*) as calls, round(coalesce(sum(length(props) / 1024.0), 0), 9)::double as cost from events where cast(ts as date) = date '2024-01-02'")
+def daily_usage(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select(F.col("ts").alias("created_at"), (F.length("props") / 1024).alias("cost"))
+    return decisions.daily_usage(e, F.lit("2024-01-02").cast("date")).withColumn("cost", F.round("cost", 9))
+
+
+@query("cluster_evidence", f"with {MEMBERS}, p as (select uid, lower(brand) as brand, screen from products) select cluster_root, array_to_string(list_sort(list(distinct source_id)), ',') as sources, array_to_string(list_sort(list(distinct p.brand)), ',') as brands, array_to_string(list_sort(list(distinct screen)), ',') as screens, array_to_string(list_sort(list(distinct gold)), ',') as truths from m join p using (uid) group by 1")
+def cluster_evidence(spark, sf_dir):
+    return report.cluster_evidence(*brand_clusters(spark, sf_dir)).select("cluster_root", *[F.array_join(c, ",").alias(c) for c in ("sources", "brands", "screens", "truths")])
+
+
+@query("cluster_errors", f"with {MEMBERS} select 'over' as kind, cluster_root as id, count(distinct gold) as n from m group by 2 having count(distinct gold) > 1 union all select 'under', gold, count(distinct cluster_root) from m group by 2 having count(distinct cluster_root) > 1")
+def cluster_errors(spark, sf_dir):
+    members, _, truth = brand_clusters(spark, sf_dir)
+    over = report.over_merged(members, truth).select(F.lit("over").alias("kind"), F.col("cluster_root").alias("id"), F.col("truths").alias("n"))
+    return over.union(report.under_merged(members, truth).select(F.lit("under"), "gold_entity", "clusters"))
+
+
+@query("linkage_errors", f"with {LABELLED} select left_uid, right_uid, case when label = 1 then 'false_negative' else 'false_positive' end as kind from labelled where label <> (rule_score >= 0.5)::int")
+def linkage_errors(spark, sf_dir):
+    rows = labelled_pairs(spark, sf_dir).withColumn("prediction", (matching.rule_score() >= 0.5).cast("int"))
+    return report.linkage_errors(rows).select("left_uid", "right_uid", "kind")
+
+
+@query("error_cases", f"with {LABELLED}, e as (select left_uid || '|' || right_uid as case_id, case when label = 1 then 'false_negative' else 'false_positive' end as kind from labelled where label <> (rule_score >= 0.5)::int), r as (select *, row_number() over (partition by kind order by case_id) as k from e) select case_id, kind from r where k <= 3")
+def error_cases(spark, sf_dir):
+    rows = linkage_errors(spark, sf_dir).select(F.concat_ws("|", "left_uid", "right_uid").alias("case_id"), "kind")
+    return report.first_cases(rows, 3, F.col("case_id"))
+
+
+@query("mediated_coverage", "select cast(4 as bigint) as mediated_coverage")
+def mediated_coverage(spark, sf_dir):
+    return report.mediated_coverage(profiles(spark, sf_dir).filter("attribute <> 'size'"))
+
+
+@query("run_summary", """select event_type as configuration, round((coalesce(a, 0) + coalesce(b, 0)) / ((a is not null)::int + (b is not null)::int), 4) as end_to_end from (select event_type, case when event_type <> 'click' then avg((value > 10)::int) end as a, avg((user_id % 2)) as b from events group by 1)""")
+def run_summary(spark, sf_dir):
+    m = read_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("configuration")).agg(F.avg((F.col("value") > 10).cast("int")).alias("a"), F.avg(F.col("user_id") % 2).alias("b"))
+    m = m.withColumn("a", F.when(F.col("configuration") != "click", F.col("a")))
+    return m.select("configuration", report.rounded(report.mean_present("a", "b")).alias("end_to_end"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as claims on customers, fused into one canonical record each."""
     return integrated_entities(spark, sf_dir)
