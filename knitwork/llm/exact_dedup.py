@@ -7,8 +7,9 @@
 2. Full hash: SHA-256 of the whole text, computed for the surviving rows alone.
 3. Groups by full hash, pre-aggregated before the shuffle, give the row that stays.
 
-A hot group is one row on the aggregated side; the many rows of the other side are split by
-adaptive execution, as both sides of that join have exchanges of their own.
+Rows get their group back in two joins. Groups above a 1,024th of all grouped rows number at most
+1,024 and are broadcast, so the rows of a hot group stay where they are; the rest are shuffled by
+their hash, and none of those keys is hot.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import whole_text
+from knitwork.llm.common import cut_lineage, whole_text
 
 #: 2**25 bits are at most 1,024 bitmaps of 4 KiB: 4 MiB to broadcast at any input size.
 BITMAP_BITS = 25
 PREFIX_BYTES = 256
+#: Groups of more rows than either are hot; there are at most ``MOST_HOT`` of them.
+LEAST_HOT, MOST_HOT = 500, 1_024
 
 
 def _slot(length: Column, prefix: Column) -> Column:
@@ -39,6 +42,7 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     length_prefix = docs.select(F.octet_length(text).alias("length"), F.xxhash64(F.substring(text.cast("binary"), 1, PREFIX_BYTES)).alias("head"), _slot(F.octet_length(text), F.substring(text.cast("binary"), 1, PREFIX_BYTES)).alias("slot"))
     shared = length_prefix.groupBy("length", "head", "slot").agg(F.count("*").alias("n")).filter("n > 1")
     bitmaps = shared.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bitmaps = cut_lineage(bitmaps)
     probed = keyed.withColumn("bucket", F.bitmap_bucket_number("slot")).join(F.broadcast(bitmaps), "bucket", "left")
     position = F.bitmap_bit_position("slot")
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -46,10 +50,16 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = probed.withColumn("byte", byte).withColumn("bit", F.pmod(position, F.lit(8))).select("id", "text", survives.alias("survives"))
     full = F.sha2(F.col("text"), 256)
     hashed = marked.select("id", "survives", F.when(F.lit(digest_all) | F.col("survives"), full).alias("text_sha256"))
-    groups = hashed.filter("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.lit(True).alias("grouped"))
-    # a row settled early joins nothing: its own key spreads such rows over all partitions
-    left = hashed.withColumn("key", F.when(F.col("survives"), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    joined = left.join(groups.select(F.col("text_sha256").alias("key"), "keep_id", "group_size", "grouped"), "key", "left")
+    groups = cut_lineage(hashed.filter("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
+    grouped_rows = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    hot = max(LEAST_HOT, grouped_rows // MOST_HOT)
+    # rows settled early, or by the broadcast, join nothing: their own key spreads them out
+    own_key = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    heavy = groups.filter(F.col("group_size") > hot).select(F.col("text_sha256").alias("key"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
+    light = groups.filter(F.col("group_size") <= hot).select(F.col("text_sha256").alias("key"), "keep_id", "group_size")
+    left = hashed.withColumn("key", F.when(F.col("survives"), F.col("text_sha256")).otherwise(own_key)).join(F.broadcast(heavy), "key", "left")
+    joined = left.withColumn("key", F.when(F.col("hot_size").isNull(), F.col("key")).otherwise(own_key)).join(light.hint("merge"), "key", "left")
+    joined = joined.withColumn("keep_id", F.coalesce("hot_keep", "keep_id")).withColumn("group_size", F.coalesce("hot_size", "group_size")).withColumn("grouped", F.col("group_size").isNotNull())
     keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256")
 

@@ -113,4 +113,5 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     slot = runs.select("length", "first_rank", "first_sequence", "offset", step).select("length", (F.col("first_rank") + F.col("i")).alias("rank"), (F.col("first_sequence") + F.col("i")).alias("sequence_id"), "offset")
     offsets = spark.createDataFrame(before, "length long, part int, before long")
     placed = ranked.join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
-    return placed.join(slot, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # as many slots as pieces: never broadcast, whatever the planner thinks of the exploded plan
+    return placed.join(slot.hint("merge"), ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
