@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from knitwork.functions.values import normalize_value
 from knitwork.operators import blocking, clustering, fusion, matching, profile, schema_align
 from knitwork.session import cut_lineage
 
+Overlays = dict[str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]]
 STAGES = ("profile", "schema", "normalize", "block", "match", "cluster", "claims", "fuse")
 CORE_NAMES = tuple(n for n, _ in schema_align.CORE if n != "specifications")
 
@@ -48,11 +50,19 @@ def product_records(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy(F.col("record_uid").alias("uid"), "source_id").agg(*map(first, CORE_NAMES), spec("screen_size_diagonal", "screen_size").alias("screen"), spec("supported_resolution", "recommended_resolution").alias("resolution"), F.array_union(ids, F.array_sort(F.collect_set(others))).alias("spec_keys"))
 
 
-def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None = None, config: IntegrationConfig = IntegrationConfig(), stop_after: str = "fuse") -> dict[str, DataFrame]:
+def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None = None, config: IntegrationConfig = IntegrationConfig(), stop_after: str = "fuse", overlays: Overlays | None = None) -> dict[str, DataFrame]:
     """Artifacts by name, up to a stage. ``gold``: uid, gold_entity. Lineage is cut where a stage's
-    result feeds several later ones."""
+    result feeds several later ones. ``overlays``: by artifact (mappings, predictions, fused), a
+    function that gets the artifact and all artifacts so far and gives the one to go on with."""
     out: dict[str, DataFrame] = {}
 
+    def settle(name: str, df: DataFrame) -> DataFrame:
+        made = out[name] = cut_lineage(df)
+        if overlays and name in overlays:
+            out[f"deterministic_{name}"] = made
+            made = out[name] = cut_lineage(overlays[name](made, out))
+        return made
+
     def done(stage: str) -> bool:
         return STAGES.index(stage) >= STAGES.index(stop_after)
 
@@ -65,7 +75,7 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
         return out
     schema = schema_align.mediated_schema(spark, config.attributes)
     out["mapping_candidates"] = schema_align.rank_candidates(schema_align.score_candidates(out["profiles"], schema, config.schema), config.schema)
-    out["mappings"] = cut_lineage(schema_align.accept_mappings(out["mapping_candidates"], config.schema))
+    settle("mappings", schema_align.accept_mappings(out["mapping_candidates"], config.schema))
     if done("schema"):
         return out
     out["normalized"] = cut_lineage(normalize_records(values, out["mappings"]))
@@ -82,7 +92,7 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
     labelled = features.join(side("left"), "left_uid").join(side("right"), "right_uid").withColumn("label", matching.pair_label(F.col("left_gold"), F.col("right_gold"))).withColumn("split", matching.pair_split(F.col("left_split"), F.col("right_split")))
     scored = matching.match_model(cut_lineage(labelled))
     threshold = matching.calibrate(scored, config.default_threshold).first().threshold
-    out["predictions"] = cut_lineage(scored.withColumn("threshold", F.lit(threshold)).withColumn("prediction", (F.col("match_probability") >= threshold).cast("int")))
+    settle("predictions", scored.withColumn("threshold", F.lit(threshold)).withColumn("prediction", (F.col("match_probability") >= threshold).cast("int")))
     if done("match"):
         return out
     edges = out["predictions"].filter("prediction = 1")
@@ -96,7 +106,7 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
     out["claims"] = cut_lineage(fusion.extract_claims(claims, out["memberships"]))
     if done("claims"):
         return out
-    out["fused"] = cut_lineage(fusion.fuse(out["claims"]))
+    settle("fused", fusion.fuse(out["claims"]))
     out["entities"] = fusion.integrated_entities(out["fused"], out["clusters"])
     return out
 
