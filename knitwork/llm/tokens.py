@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 #: Entries a worker keeps in each of two generations, so its memory stays bounded.
-CACHE_LIMIT = 150_000
+CACHE_LIMIT = 240_000
 #: Longer entries are encoded each time and never kept.
 KEPT_LENGTH = 48
 #: Texts are encoded in groups of about so many characters.
