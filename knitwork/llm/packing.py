@@ -21,7 +21,7 @@ from knitwork.llm.common import cut_lineage, whole_text
 from knitwork.llm.tokens import grouped, shared_encoder
 
 #: Parts that ranks within one length are dealt over; a length may hold a third of all rows.
-RANK_PARTS = 64
+RANK_PARTS = 64  # at most capacity x RANK_PARTS rows of offsets, 13 MB, are broadcast
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
