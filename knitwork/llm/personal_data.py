@@ -20,8 +20,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Proposes the longest run from each possible start; starts may lie in one another's runs.
+IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]*+))"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: Characters of an IBAN by country, as registered; other codes have no fixed length.
+IBAN_LENGTHS = dict(x.split(":") for x in "NO:15 BE:16 BI:27 DK:18 FO:18 FI:18 FK:18 GL:18 NL:18 SD:18 MK:19 SI:19 AT:20 BA:20 EE:20 KZ:20 LT:20 LU:20 MN:20 XK:20 CH:21 HR:21 LI:21 LV:21 BG:22 BH:22 CR:22 DE:22 GB:22 GE:22 IE:22 ME:22 RS:22 VA:22 AE:23 GI:23 IL:23 IQ:23 OM:23 SO:23 TL:23 AD:24 CZ:24 ES:24 MD:24 PK:24 RO:24 SA:24 SE:24 SK:24 TN:24 VG:24 LY:25 PT:25 ST:25 IS:26 TR:26 DJ:27 FR:27 GR:27 IT:27 MC:27 MR:27 SM:27 AL:28 AZ:28 BY:28 CY:28 DO:28 GT:28 HN:28 HU:28 LB:28 NI:28 PL:28 SV:28 BR:29 EG:29 PS:29 QA:29 UA:29 JO:30 KW:30 MU:30 YE:30 MT:31 SC:31 LC:32 RU:33".split())
 #: Each part at most 255, leading zeros allowed.
 IP_PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
@@ -48,6 +51,38 @@ def mod97(match: Column) -> Column:
     return F.when(n.between(15, 34), F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) == 1).otherwise(False)
 
 
+def _iban_end(run: Column) -> Column:
+    """The run up to the blank, or its end, where a registered length and mod-97 hold; for codes without
+    a length the last end with mod-97. Empty where none does."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    registered = F.try_element_at(lengths, F.substring(run, 1, 2))
+
+    def end(acc: Column, word: Column) -> Column:
+        upto = F.when(acc["upto"] == "", word).otherwise(F.concat(acc["upto"], F.lit(" "), word))
+        fits = F.coalesce(F.length(F.translate(upto, " ", "")) == registered.cast("int"), F.lit(True))
+        return F.struct(upto.alias("upto"), F.when(fits & upto.rlike("^[A-Z0-9 ]+$") & mod97(upto), upto).otherwise(acc["best"]).alias("best"))
+
+    return F.aggregate(F.split(run, " "), F.struct(F.lit("").alias("upto"), F.lit("").alias("best")), end, lambda acc: acc["best"])
+
+
+def _ibans(text: Column) -> Column:
+    """array<struct<start, finish, value>> of the confirmed IBANs, from left to right without overlap."""
+    # a line break before the text keeps the first piece where a run begins at once
+    pieces = F.split(F.concat(F.lit("\n"), text), IBAN, -1)
+    runs = F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))
+    empty = F.array().cast("array<struct<start:bigint,finish:bigint,value:string>>")
+
+    def place(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["gap"]
+        value = _iban_end(x["run"])
+        span = F.struct(at.alias("start"), (at + F.length(value)).alias("finish"), value.alias("value"))
+        good = (value != "") & (at >= acc["free"])
+        return F.struct(at.alias("at"), F.when(good, at + F.length(value)).otherwise(acc["free"]).alias("free"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(runs)), runs, lambda g, r: F.struct(F.length(g).alias("gap"), r.alias("run")))
+    return F.aggregate(gaps, F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("free"), empty.alias("spans")), place, lambda acc: acc["spans"])
+
+
 def _digits_between(low: int, high: int):
     return lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")).between(low, high)
 
@@ -96,7 +131,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
         ),
         lambda acc: acc["spans"],
     )
-    confirmed = F.filter(placed, lambda s: kind.valid(s["value"]))
+    confirmed = _ibans(text) if kind.name == "iban" else F.filter(placed, lambda s: kind.valid(s["value"]))
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
         around = F.concat(F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit(" "), F.substring(text, (s["finish"] + 1).cast("int"), F.lit(CONTEXT)))
