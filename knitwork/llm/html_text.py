@@ -2,10 +2,12 @@
 
 The parser's events are folded into *lines*, one for each block of text, with the number of tags met
 since the last line and the containers around it. The text-to-tag ratio of the lines is smoothed
-with a Gaussian and thresholded at its standard deviation; lines above it are the seeds. The content
-region is the innermost container around most of the seeds' text, and all its lines belong to it,
-short ones too. Elements that say what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) never make lines, and neither do scripts and styles.
+with a Gaussian and thresholded at its standard deviation; lines above it, link lists aside, are the
+seeds. The content region is the innermost container around all of them, or the article or main
+element around that, and all its lines belong to it, short ones and lists of links too. Elements that
+are menus, footers, forms and the like never make lines, and neither do scripts and styles. Lines of
+those that a class or id calls so (sidebars, notices, adverts, comments) are left out, unless one such
+name takes most of the page's text: then it doesn't mean what it says.
 """
 
 from __future__ import annotations
@@ -27,6 +29,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets aside footer header masthead toolbar share sharing social related recommended comment comments commentlist respond reply replies disqus pagination pager copyright disclaimer search skip".split())
 #: Of those, what an article element may still be.
 NOT_ARTICLES = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies notice widget".split())
+#: Words before which a class or id ends: the rest says what else there is, or isn't.
+MODIFIERS = frozenset("has with without no not".split())
+#: Last words that make a name a state or a kind of page.
+STATES = frozenset("open opened closed collapsed expanded enabled disabled active fixed result results page template layout".split())
+#: What the header is of, where it belongs to the article.
+OWN_HEADERS = frozenset("article post entry content story".split())
+#: Names that stay excluded however much text they take.
+NEVER_BACK = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal comment comments commentlist respond reply replies disqus".split())
 #: Elements that a new one of the same group ends, if nothing of the second group lies between.
 ENDS = {"p": (frozenset(["p"]), frozenset()), "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])), "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])), "option": (frozenset(["option"]), frozenset(["select"]))}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -47,6 +57,7 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.containers: dict[int, str] = {}
+        self.named: dict[int, frozenset[str]] = {}
         self._stack: list[tuple[str, int, bool]] = []
         self._parts: list[str] = []
         self._tags = self._linked = self._link = 0
@@ -62,8 +73,23 @@ class LineParser(HTMLParser):
         found = dict(attrs)
         if "hidden" in found or found.get("aria-hidden") == "true" or (found.get("role") or "").lower() in ROLES or _HIDDEN.search(found.get("style") or ""):
             return True
-        words = {w for k in ("class", "id") for w in _SPLIT.split((found.get(k) or "").lower())}
-        return bool(words & (NOT_ARTICLES if tag == "article" else NAMES))
+        return False
+
+    def _names(self, tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+        """The words of its class and id by which an element says that it isn't content."""
+        if not attrs or tag in ("html", "body", "main"):
+            return frozenset()
+        found, out = dict(attrs), set()
+        for name in f"{found.get('class') or ''} {found.get('id') or ''}".lower().split():
+            words = [w for w in _SPLIT.split(name) if w]
+            words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), None)]
+            if len(words) > 1 and words[-1] in STATES:
+                continue
+            said = set(words) & (NOT_ARTICLES if tag == "article" else NAMES)
+            if len(words) > 1 and words[-1] == "header" and (OWN_HEADERS & set(words) or any(t in ("article", "main") for t, _, _ in self._stack)):
+                said.discard("header")
+            out |= said
+        return frozenset(out)
 
     def _break(self) -> None:
         if self._parts:
@@ -75,6 +101,8 @@ class LineParser(HTMLParser):
             self._parts, self._linked = [], 0
 
     def _pop(self, depth: int) -> None:
+        if any(n in self.named for _, n, _ in self._stack[depth:]):
+            self._break()
         del self._stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -100,10 +128,13 @@ class LineParser(HTMLParser):
                     break
         above = bool(self._stack) and self._stack[-1][2]
         out = above or self._excluded(tag, attrs)
-        if block or out:
-            if out and not above:
+        names = frozenset() if out else self._names(tag, attrs)
+        if block or out or names:
+            if (out or names) and not above:
                 self._break()
             number = len(self.containers)
+            if names:
+                self.named[number] = names
             self.containers[number] = tag
             self._stack.append((tag, number, out))
 
@@ -158,29 +189,47 @@ def smooth(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def content_lines(parser: LineParser) -> list[Line]:
+    """The lines outside what is named as no content; tags met in between count for the next line."""
+    names = [frozenset().union(*[parser.named[n] for n in x.path if n in parser.named]) for x in parser.lines]
+    weight: Counter = Counter()
+    total = 0
+    for line, own in zip(parser.lines, names, strict=True):
+        if not own & NEVER_BACK:
+            total += len(line.text)
+            for w in own:
+                weight[w] += len(line.text)
+    back = {w for w, size in weight.items() if size > 0.5 * total}
+    out, tags = [], 0
+    for line, own in zip(parser.lines, names, strict=True):
+        tags += line.tags
+        if own <= back:
+            line.tags, tags = tags, 0
+            out.append(line)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the content region in page order, joined by newlines; empty where there is none."""
     parser = parse(html or "")
-    lines = parser.lines
+    lines = content_lines(parser)
     if not lines:
         return ""
+    kind = parser.containers
     sizes = np.array([len(x.text) for x in lines], float)
     ratios = sizes / np.array([max(x.tags, 1) for x in lines])
     smoothed = smooth(ratios)
+    listed = np.array([x.linked >= 0.9 * len(x.text) and any(kind[n] == "li" for n in x.path) for x in lines])
     seeds = smoothed >= min(smoothed.std(), smoothed.max())
-    weight: Counter = Counter()
-    for line, seed, size in zip(lines, seeds, sizes, strict=True):
-        if seed:
-            for n in line.path:
-                weight[n] += size
-    total = sizes[seeds].sum()
-    # the region: an article or main element with half of the seeds' text, else the innermost
-    # container with most of it; containers are numbered from the outside in
-    named = [n for n, w in weight.items() if parser.containers[n] in ("article", "main") and w >= 0.5 * total]
-    large = [n for n, w in weight.items() if w >= 0.8 * total and parser.containers[n] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6")]
-    region = max(named, default=max(large, default=None))
-    inside = [x for x in lines if region is None or region in x.path]
-    return "\n".join(x.text for x in inside if not (x.linked >= 0.9 * len(x.text) and any(parser.containers[n] == "li" for n in x.path)))
+    seeds = np.flatnonzero(seeds & ~listed if (seeds & ~listed).any() else seeds)
+    # containers are numbered from the outside in
+    around = set(lines[seeds[0]].path).intersection(*[lines[i].path for i in seeds[1:]])
+    article = max((n for n in around if kind[n] in ("article", "main")), default=None)
+    region = article if article is not None else max((n for n in around if kind[n] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6")), default=None)
+    if region is None or kind[region] in ("html", "body"):
+        # nothing marks where the content begins: lists of links above it are menus
+        return "\n".join(x.text for i, x in enumerate(lines) if i >= seeds[0] or not listed[i])
+    return "\n".join(x.text for x in lines if region in x.path)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
