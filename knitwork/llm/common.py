@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitwork.session import cut_lineage, read_table, scratch_path
 
-__all__ = ["cut_lineage", "read_table", "scratch_path", "documents", "whole_text", "in_id_order", "held_out", "words_of"]
+__all__ = ["cut_lineage", "read_table", "scratch_path", "documents", "whole_text", "in_id_order", "held_out", "words_of", "give_back"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +35,15 @@ def in_id_order(docs: DataFrame, id_col: str, *tie: str) -> DataFrame:
 def words_of(text: str) -> list[bytes]:
     """Lower-cased A-Z; words are runs outside U+0020 and U+0009 to U+000D."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def give_back() -> None:
+    """At the end of a task: memory that the worker process holds but no longer uses goes back to the
+    system. Workers live on from stage to stage, and an executor's limit counts all of them."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -17,11 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knitwork.llm.common import cut_lineage, whole_text
+from knitwork.llm.common import cut_lineage, give_back, whole_text
 from knitwork.llm.tokens import grouped, shared_encoder
 
-#: Parts that ranks within one length are dealt over; a length may hold a third of all rows.
-RANK_PARTS = 64  # at most capacity x RANK_PARTS rows of offsets, 13 MB, are broadcast
+#: A length, which may hold a third of all rows, is ranked in parts: up to ``LEAST_PARTS`` of at least
+#: ``LEAST_ROWS`` pieces, more where they would exceed ``MOST_ROWS``.
+LEAST_PARTS, LEAST_ROWS, MOST_ROWS = 32, 64, 200_000
+#: Rows of part offsets up to which they are broadcast; there is one for each part.
+MOST_BROADCAST = 500_000
+#: Words a packing worker caches. It shares its executor with what earlier stages left in memory, so its
+#: caches are smaller than those of tokenisation alone and go with the task.
+CACHED_WORDS = 120_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -69,7 +75,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end, step = shared_encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        encoder, end, step = shared_encoder(tokenizer, CACHED_WORDS), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             own, at = batch.column(0).to_pylist(), 0
             for group in grouped(batch.column(1).to_pylist()):
@@ -81,6 +87,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
                 columns = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -89,21 +97,27 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     """Every piece of every document with its sequence_id and offset.
 
     A null text is empty and makes a piece of the end id alone; null ids and repeated rows are
-    pieces like any other; an empty table gives no rows; other columns are not read. The checkpoint
-    fixes the ranks: they stay the same when a lost executor's tasks run again."""
+    pieces like any other; an empty table gives no rows; other columns are not read. Pieces are
+    written once; ranks follow a total order of their columns, so they are the same when the tasks
+    of a lost executor run again."""
     spark = docs.sparkSession
-    made = cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = cut_lineage(made.withColumn("part", part).withColumn("place", F.row_number().over(within) - 1))
-    # at most capacity x RANK_PARTS rows, whatever the input
-    sizes = ranked.groupBy("length", "part").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
-    before = []
-    for length, at, n in sorted((r.length, r.part, r.n) for r in sizes):
-        before.append((length, at, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    made = cut_lineage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col))
+    # at most ``capacity`` rows, whatever the input
+    counts = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan_best_fit(counts, capacity)
+    parts_of = lambda n: max(-(-n // MOST_ROWS), min(LEAST_PARTS, -(-n // LEAST_ROWS)))
+    parts = spark.createDataFrame([(length, parts_of(n)) for length, n in counts.items()], "length long, parts int")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int")
+    dealt = made.join(F.broadcast(parts), "length").withColumn("part", part).drop("parts")
+    sizes = cut_lineage(dealt.groupBy("length", "part").agg(F.count("*").alias("n")))
+    # a length has few parts: 32, or one to 200,000 pieces
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if sizes.count() <= MOST_BROADCAST:
+        offsets = F.broadcast(offsets)
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
+    ranked = dealt.withColumn("place", F.row_number().over(within) - 1)
+    placed = ranked.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     plan = spark.createDataFrame(slots, "length long, first_rank long, number long, first_sequence long, offset long")
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)).alias("i")
     # slots of millions of ranks are first cut into runs, so that no task makes them all
@@ -111,7 +125,5 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("number") - 1) / run))))
     runs = runs.select("length", (F.col("first_rank") + F.col("run") * run).alias("first_rank"), F.least(F.lit(run).cast("long"), F.col("number") - F.col("run") * run).alias("number"), (F.col("first_sequence") + F.col("run") * run).alias("first_sequence"), "offset").repartition("length", "first_rank")
     slot = runs.select("length", "first_rank", "first_sequence", "offset", step).select("length", (F.col("first_rank") + F.col("i")).alias("rank"), (F.col("first_sequence") + F.col("i")).alias("sequence_id"), "offset")
-    offsets = spark.createDataFrame(before, "length long, part int, before long")
-    placed = ranked.join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     # as many slots as pieces: never broadcast, whatever the planner thinks of the exploded plan
     return placed.join(slot.hint("merge"), ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -60,6 +60,10 @@ class BoundedCache(dict):
             self[key] = value
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self._old = {}
+
 
 class WordEncoder:
     """Texts to little-endian uint32 ids, equal to the library's for every text."""
@@ -97,11 +101,17 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.encode_one(t) for t in texts]
 
+    def forget(self) -> None:
+        """Empties the caches; the loaded vocabulary stays."""
+        self._words.empty()
+        self._chunks.empty()
+
 
 @cache
-def shared_encoder(path: str) -> WordEncoder:
-    """The worker process's encoder: its caches stay warm from one task to the next."""
-    return WordEncoder(path)
+def shared_encoder(path: str, limit: int = CACHE_LIMIT) -> WordEncoder:
+    """The worker process's encoder: its caches stay warm from one task to the next, unless the task
+    makes it forget them."""
+    return WordEncoder(path, limit)
 
 
 def grouped(texts: list[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
