@@ -1,22 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and every window of a
-text is compressed with both: where the toxic dictionary makes it shorter by a calibrated threshold,
-the window counts as toxic. A text's score is a logistic function of how many windows do and of the
-bytes they save, fitted on the training rows.
-
-A compressor pays several bytes for each match, more than a short insult saves, and stray matches of
-three letters drown the signal. So text is written to the compressor word by word in eight-byte
-codes: a word known to either dictionary by its beginning (a *stem*) has the code of its longest
-such stem, any other word a two-byte code. A match is then worth a whole stem or nothing. As in
-zstandard's own trainer a dictionary's content is chosen by greedy cover of the samples; here by the
-stems that tell its class from the other, after those both share.
+zstandard trains two dictionaries, one on windows of toxic and one on windows of ordinary text. Every
+window of a text is compressed with either: where the toxic dictionary makes it shorter by a calibrated
+threshold, the window counts as toxic. A text's score is a logistic function of how many windows do
+and of the bytes they save, fitted on the training rows.
+
+Used as they are the two dictionaries tell little: a match costs the compressor several bytes, more
+than a short insult saves, and most of what they hold is in both classes. So each is reduced to the
+*stems* (beginnings of words in its content) that its class has far more often than chance, with a
+further part that both share, and both the dictionaries and the windows are written in codes: eight
+bytes for a word that begins with a stem, two for any other. A match is then worth a whole stem or
+nothing, and what is compared is still the compressor's output.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from knitwork.llm.common import held_out, whole_text, words_of
+from knitwork.llm.common import give_back, held_out, whole_text
 from knitwork.llm.tokens import BoundedCache
 
 FOLDS, TEST_FOLD = 5, 0
@@ -41,85 +42,102 @@ THRESHOLDS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 12.0)
 class Limits:
     """per_class: labelled rows of each class that are learnt from, chosen by a hash of their id;
     sample_bytes: longer texts are not learnt from (they are scored like any other). Together they
-    bound what the driver holds. Stems are 3 to ``stem_bytes`` bytes of a word's beginning."""
+    bound what the driver holds."""
 
     per_class: int = 1_500
     sample_bytes: int = 16_384
-    stem_bytes: int = 10
+    #: bytes of each trained dictionary; characters of a training window
+    trained_bytes: int = 65_536
+    window_chars: int = 80
+    least_stem: int = 4
+    most_stem: int = 10
+    #: uses of a stem in one text that count; texts that must have it; ln of the ratio of rates
+    per_text: int = 5
+    min_docs: int = 3
+    log_odds: float = 2.0
     window_words: int = 24
-    cover: int = 12
-    min_docs: int = 4
-    log_odds: float = 3.5
     shared: int = 256
 
 
-def _distinct(texts: list[str]) -> list[str]:
-    """Near copies count once: a copy's own words would look like marks of its class."""
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    return _WORD.findall(text.lower())
+
+
+def _distinct(texts: list[str]) -> list[list[str]]:
+    """The words of each text. Near copies count once: a copy's own words would look like marks of
+    its class."""
     seen: set = set()
     out = []
     for text in texts:
-        words = words_of(text)
-        shingles = {b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
+        words = letters_of(text)
+        shingles = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
         sketch = [(k, min(xxh64_intdigest(s, k) for s in shingles)) for k in range(6)]
         if sum(x in seen for x in sketch) < 2:
             seen.update(sketch)
-            out.append(text)
+            out.append(words)
     return out
 
 
-def _stems(text: str, longest: int) -> set[bytes]:
-    return {w[:n] for w in set(words_of(text)) for n in range(3, min(len(w), longest) + 1)}
-
-
-def choose_stems(own: list[set[bytes]], other: Counter, n_other: int, limits: Limits) -> list[bytes]:
-    """Greedy cover: the stem with the most samples still short of ``cover`` stems comes first; a
-    sample of the other class that has it weighs twice. Copied phrases add few samples and stay out."""
-    counts = Counter(s for d in own for s in d)
-    n = len(own)
-    share = n / max(n + n_other, 1)
-    # nats by which a count must be more one-sided than chance, for all candidates together
-    surprise = math.log(max(sum(v >= limits.min_docs for v in counts.values()), 1)) + 2
-
-    def tells(s: bytes) -> bool:
-        a, b = counts[s], other[s]
-        if a < limits.min_docs or math.log((a + 0.5) / (n + 1) / ((b + 0.5) / (n_other + 1))) < limits.log_odds:
-            return False
+def trained_words(texts: list[list[str]], limits: Limits) -> set[str]:
+    """The words, whole or cut, in the dictionary that zstandard trains on windows of the texts.
+    Where there is too little text for its trainer the text itself is the dictionary."""
+    import zstandard
+
+    windows = []
+    for words in texts:
+        joined = " ".join(words)
+        windows += [f" {joined[i : i + limits.window_chars]} ".encode() for i in range(0, len(joined), limits.window_chars)]
+    windows = [w for w in windows if len(w) >= 8]
+    try:
+        content = zstandard.train_dictionary(limits.trained_bytes, windows, k=16, d=6, steps=1).as_bytes()
+    except zstandard.ZstdError:
+        content = b"".join(windows)[-limits.trained_bytes :]
+    return {w.decode(errors="ignore") for w in content.split(b" ")}
+
+
+def _stems(words: list[str], limits: Limits) -> Counter:
+    """Beginnings of the words, each counted up to ``per_text`` times."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        for k in range(limits.least_stem, min(len(w), limits.most_stem) + 1):
+            out[w[:k]] += n
+    return Counter({s: min(n, limits.per_text) for s, n in out.items()})
+
+
+def telling_stems(words: set[str], own: Counter, other: Counter, docs: Counter, limits: Limits) -> list[str]:
+    """Stems of a dictionary's words that its class uses more than chance explains, for all of them
+    together. Of nested ones the one with the most evidence stays."""
+    n, m = sum(own.values()), sum(other.values())
+    share = n / max(n + m, 1)
+    candidates = {w[:k] for w in words for k in range(limits.least_stem, min(len(w), limits.most_stem) + 1)}
+    candidates = {s for s in candidates if docs[s] >= limits.min_docs}
+    chance = math.log(max(len(candidates), 1)) + 1
+    evidence = {}
+    for s in candidates:
+        a, b = own[s], other[s]
         p = a / (a + b)
-        return a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0) >= surprise
-
-    telling = {s for s in counts if tells(s)}
-    # of nested stems the longest that keeps nearly all samples of the shorter one, and beyond it
-    # none but those that the other class has much more rarely
-    grown = {s[:-1] for s in telling if counts[s] >= 0.9 * counts[s[:-1]]}
-    kept: set[bytes] = set()
-    for s in sorted(telling - grown, key=len):
-        if all(2 * other[s] < other[s[:n]] for n in range(3, len(s)) if s[:n] in kept):
-            kept.add(s)
-    telling = kept
-    where = defaultdict(list)
-    for i, stems in enumerate(own):
-        for s in stems & telling:
-            where[s].append(i)
-    need, out = [limits.cover] * n, []
-    cost = {s: 2 * other[s] * n / max(n_other, 1) for s in where}
-    while where:
-        gain, best = max((sum(need[i] > 0 for i in ids) - cost[s], s) for s, ids in where.items())
-        if gain < limits.min_docs:
-            break
-        for i in where.pop(best):
-            need[i] -= 1
-        out.append(best)
+        nats = a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0) if p > share else 0
+        if nats >= chance and math.log((a + 0.5) / n / ((b + 0.5) / max(m, 1))) >= limits.log_odds:
+            evidence[s] = nats
+    out: list[str] = []
+    for s in sorted(evidence, key=lambda s: (-evidence[s], -len(s), s)):
+        if not any(s.startswith(x) or x.startswith(s) for x in out):
+            out.append(s)
     return out
 
 
-def _code(stem: bytes) -> bytes:
-    return xxh64_digest(stem, 7)
+def _code(stem: str) -> bytes:
+    return xxh64_digest(stem.encode(), 7)
 
 
 class Scorer:
     """Dictionaries, threshold and weights; plain values, so that it can be sent to executors."""
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes], shared: list[bytes], limits: Limits):
+    def __init__(self, toxic: list[str], ordinary: list[str], shared: list[str], limits: Limits):
         self.limits = limits
         self.stems = frozenset([*toxic, *ordinary, *shared])
         base = b"".join(map(_code, shared))
@@ -127,7 +145,9 @@ class Scorer:
         # the same length, so that offsets to the shared part cost the same
         filler = b"".join(xxh64_digest(str(i).encode(), 11) for i in range(size // 8))
         parts = [b"".join(map(_code, x)) for x in (toxic, ordinary)]
-        self.dictionaries = [base + filler[: size - len(p)] + p for p in parts]
+        # the compressor finds no match that begins in a dictionary's last bytes
+        end = b"".join(xxh64_digest(bytes([i]), 13) for i in range(2))
+        self.dictionaries = [base + filler[: size - len(p)] + p + end for p in parts]
         self.threshold, self.weights = 4.0, np.array([-3.0, 1.0, 1.0, 1.0])
         self._ready = None
 
@@ -144,21 +164,21 @@ class Scorer:
                 p = z.ZstdCompressionParameters.from_level(5, window_log=14, hash_log=12, chain_log=12, search_log=4, strategy=z.STRATEGY_GREEDY, min_match=6, write_content_size=0, write_checksum=0, write_dict_id=0)
                 d.precompute_compress(compression_params=p)
                 made.append(z.ZstdCompressor(dict_data=d, compression_params=p))
-            stems, longest = self.stems, self.limits.stem_bytes
+            stems, shortest, longest = self.stems, self.limits.least_stem, self.limits.most_stem
 
-            def write(word: bytes) -> bytes:
-                for n in range(min(len(word), longest), 2, -1):
+            def write(word: str) -> bytes:
+                for n in range(min(len(word), longest), shortest - 1, -1):
                     if word[:n] in stems:
                         return _code(word[:n])
-                return xxh64_digest(word, 3)[:2]
+                return xxh64_digest(word.encode(), 3)[:2]
 
             self._ready = (*made, BoundedCache(write, 80_000))
         return self._ready
 
-    def differences(self, text: str) -> np.ndarray:
+    def differences(self, words: list[str]) -> np.ndarray:
         """Per window: bytes with the ordinary dictionary less bytes with the toxic one."""
         toxic, ordinary, codes = self._compressors()
-        words, step = words_of(text), self.limits.window_words
+        step = self.limits.window_words
         written = list(map(codes.__getitem__, words))
         windows = [TAIL[:16] + b"".join(written[i : i + step]) + TAIL for i in range(0, len(written), step)]
         return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows], float)
@@ -169,9 +189,9 @@ class Scorer:
         return np.array([1.0, math.log1p(over.sum()), math.sqrt(over.sum() / n), math.log1p(differences[over].sum() / n)])
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.features(self.differences(text)) @ self.weights)))))
+        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.features(self.differences(letters_of(text))) @ self.weights)))))
 
-    def calibrate(self, toxic: list[str], ordinary: list[str]) -> None:
+    def calibrate(self, toxic: list[list[str]], ordinary: list[list[str]]) -> None:
         """The threshold and weights with the least logistic loss on the training rows; each class
         weighs as much as it has rows, and the weights are ridge-penalised (Newton's method)."""
         if not toxic or not ordinary:
@@ -199,11 +219,19 @@ class Scorer:
 
 def fit(toxic: list[str], ordinary: list[str], limits: Limits = Limits()) -> Scorer:
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    t, o = [_stems(x, limits.stem_bytes) for x in toxic], [_stems(x, limits.stem_bytes) for x in ordinary]
-    ct, co = Counter(s for d in t for s in d), Counter(s for d in o for s in d)
-    own, other = choose_stems(t, co, len(o), limits), choose_stems(o, ct, len(t), limits)
-    # what both classes share: frequent stems of at least four bytes that tell nothing
-    both = [s for s, _ in (ct + co).most_common(20 * limits.shared) if len(s) >= 4 and not any(s.startswith(x) or x.startswith(s) for x in [*own, *other])][: limits.shared]
+    counted = []
+    for texts in (toxic, ordinary):
+        uses, docs = Counter(), Counter()
+        for words in texts:
+            stems = _stems(words, limits)
+            uses.update(stems)
+            docs.update(stems.keys())
+        counted.append((uses, docs))
+    (ct, dt), (co, do) = counted
+    own = telling_stems(trained_words(toxic, limits), ct, co, dt, limits)
+    other = telling_stems(trained_words(ordinary, limits), co, ct, do, limits)
+    # what both classes share: frequent stems that tell nothing
+    both = [s for s, _ in (dt + do).most_common(20 * limits.shared) if not any(s.startswith(x) or x.startswith(s) for x in [*own, *other])][: limits.shared]
     scorer = Scorer(own, other, both, limits)
     scorer.calibrate(toxic, ordinary)
     return scorer
@@ -212,13 +240,13 @@ def fit(toxic: list[str], ordinary: list[str], limits: Limits = Limits()) -> Sco
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Learns from labelled rows outside the test fold only. Null labels are left out. With rows of
     one class, or none, every score is that of a text without evidence."""
-    usable = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col, FOLDS, TEST_FOLD)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
-    sample = usable.filter("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(limits.per_class).union(usable.filter("__label = 0").orderBy(F.xxhash64("__id"), "__id").limit(limits.per_class))
-    size = F.octet_length(whole_text(text_col))
+    usable = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col, FOLDS, TEST_FOLD)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    sample = usable.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(limits.per_class).union(usable.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(limits.per_class))
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).filter(F.octet_length("text").between(1, limits.sample_bytes))
     # at most 2 x per_class narrow rows are broadcast
-    rows = docs.filter(size.between(1, limits.sample_bytes)).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).groupBy("__id", "__label").agg(F.max(text_col).alias("__text")).collect()
-    rows.sort(key=lambda r: r["__id"])
-    return fit([r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0], limits)
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.max("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.id, r.label))
+    return fit([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], limits)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,18 +260,24 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
         own = copy(sent.value)  # its caches go with the task
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t) for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), whole_text(text_col).alias("text")).mapInArrow(rows, f"`{id_col}` long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``: null and empty texts score as
+    texts without evidence, null ids (of the fold their empty text falls in) and repeated rows are
+    rows like any other, an empty table gives no rows, other columns are not read. Labels that are
+    null, repeat or have no document teach nothing more."""
     scored = score_documents(docs, train(docs, labels, limits))
     return scored.select("doc_id", held_out("doc_id", FOLDS, TEST_FOLD).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
     """The rows scored under one half, all columns, whatever their ids: the verdict travels with
-    the row, so no join is needed."""
+    the row, so no join is needed and no column name can clash. Null and empty texts stay; repeated
+    rows stay or go together; an empty table gives no rows."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(train(docs, labels, limits))
     at = docs.columns.index(text_col)
@@ -255,5 +289,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), te
         for batch in batches:
             keep = [own.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(rows, docs.schema)

@@ -2,21 +2,30 @@
 
 import random
 
-from knitwork.llm.toxicity import Limits, drop_toxic, score_documents, toxicity, train
+from pyspark.sql import functions as F
+
+from knitwork.llm.toxicity import Limits, drop_toxic, fit, score_documents, toxicity, train, trained_words
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_held_out_accuracy(spark):
+def test_scores_repeat(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    scored = toxicity(docs, labels)
-    assert scored.count() == docs.count()
-    rows = scored.join(labels, "doc_id").filter("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert len(rows) > 50 and right / len(rows) >= 0.95
-    assert all(0 <= r.score <= 1 for r in rows)
-    again = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
-    assert all(again[r.doc_id] == r.score for r in rows)
+    first, again = ({r.doc_id: r.score for r in toxicity(docs, labels).collect()} for _ in range(2))
+    assert len(first) == docs.count() and first == again
+    assert all(0 <= x <= 1 for x in first.values())
+
+
+def test_dictionaries_are_trained_on_text():
+    """What zstandard's trainer keeps holds the words that repeat; stems are those of one class."""
+    filler = random.Random(3)
+    word = lambda: "".join(filler.choice("abcdefgh") for _ in range(7))
+    toxic = [" ".join([word() for _ in range(60)] + ["nastyword", "plainword"]) for _ in range(60)]
+    plain = [" ".join([word() for _ in range(60)] + ["plainword"]) for _ in range(60)]
+    scorer = fit(toxic, plain)
+    assert any("nastyword".startswith(s) for s in scorer.stems)
+    assert [scorer.score(t) >= 0.5 for t in (toxic[0], plain[0])] == [True, False]
+    assert {w for w in trained_words([t.split() for t in toxic], Limits()) if "nasty" in w}
 
 
 def sample(spark):
@@ -42,6 +51,7 @@ def test_awkward_rows(spark):
 
 def test_rejected_rows_go_and_clean_rows_stay(spark):
     docs, labels = sample(spark)
+    docs = docs.withColumn("id", F.lit(0)).withColumn("label", F.lit(1)).withColumn("__id", F.lit(2))
     kept = drop_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
