@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from knitwork.session import cut_lineage, read_table, scratch_path
 
-__all__ = ["cut_lineage", "read_table", "scratch_path", "documents", "whole_text", "in_id_order", "held_out", "words_of", "give_back"]
+__all__ = ["cut_lineage", "read_table", "scratch_path", "documents", "whole_text", "in_id_order", "held_out", "words_of", "give_back", "fresh", "own_columns"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,19 @@ def in_id_order(docs: DataFrame, id_col: str, *tie: str) -> DataFrame:
     return docs.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), *tie)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``docs`` has (names differ by more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold: dots and blanks too."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased A-Z; words are runs outside U+0020 and U+0009 to U+000D."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -1,33 +1,55 @@
 """Exact duplicates by progressive refinement, in DataFrame operations only.
 
 1. Length and prefix: every row gives its byte length and a hash of its first bytes; groups of one
-   are settled. The keys of the others are marked in a bitmap of fixed size (2**BITMAP_BITS bits,
-   built by Spark's bitmap aggregate), which is what gets broadcast: its size doesn't depend on the
-   input. A collision in it only sends a row on to the next step needlessly.
+   are settled. The keys of the others are marked in a bitmap, built by Spark's bitmap aggregate,
+   which is what gets broadcast. It has 16 bits for each of those keys, as they are counted, and
+   at most 2**MOST_BITS (32 MiB). A collision in it only sends a row on to the next step needlessly.
 2. Full hash: SHA-256 of the whole text, computed for the surviving rows alone.
 3. Groups by full hash, pre-aggregated before the shuffle, give the row that stays.
 
-Rows get their group back in two joins. Groups above a 1,024th of all grouped rows number at most
-1,024 and are broadcast, so the rows of a hot group stay where they are; the rest are shuffled by
-their hash, and none of those keys is hot.
+For decisions rows get their group back in two joins. Groups above a 1,024th of all grouped rows number
+at most 1,024 and are broadcast, so the rows of a hot group stay where they are; the rest are
+shuffled by their hash, and none of those keys is hot. For the rows that stay no join is needed:
+rows settled early pass straight through, and of each other group one row comes out of an aggregate
+that every task begins on its own rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import cut_lineage, whole_text
+from knitwork.llm.common import cut_lineage, fresh, own_columns, whole_text
 
-#: 2**25 bits are at most 1,024 bitmaps of 4 KiB: 4 MiB to broadcast at any input size.
-BITMAP_BITS = 25
+#: Bits of the bitmap, as powers of two: 32 KiB at least, 32 MiB at most.
+LEAST_BITS, MOST_BITS = 18, 28
 PREFIX_BYTES = 256
 #: Groups of more rows than either are hot; there are at most ``MOST_HOT`` of them.
 LEAST_HOT, MOST_HOT = 500, 1_024
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(1 << BITMAP_BITS))
+def _survivors(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a flag of its own name: the text may have an equal one."""
+    text = whole_text(f"`{text_col}`")
+    length, head = F.octet_length(text), F.xxhash64(F.substring(text.cast("binary"), 1, PREFIX_BYTES))
+    keys = docs.select(length.alias("length"), head.alias("head")).groupBy("length", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut_lineage(keys.select("length", "head"))
+    count = shared.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(count, 1)))))
+    slot_of = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(1 << bits))
+    slot = slot_of(F.col("length"), F.col("head"))
+    bucket, bitmap = fresh(docs, "bucket"), fresh(docs, "bitmap")
+    bitmaps = shared.groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bitmap))
+    own = slot_of(length, head)
+    # at most 2**MOST_BITS bits, in bitmaps of 4 KiB
+    probed = docs.withColumn(bucket, F.bitmap_bucket_number(own)).join(F.broadcast(cut_lineage(bitmaps)), bucket, "left")
+    position = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flag = fresh(docs, "survives")
+    marked = F.coalesce(F.getbit(F.coalesce(byte, F.lit(0)), F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return probed.select(*own_columns(docs), marked.alias(flag)), flag
 
 
 def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -37,24 +59,16 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the largest id stays (of repeated ids, which are ties, each is kept; a null id stays only where
     all ids of the group are null). text_sha256 is null for rows settled by length and prefix,
     unless ``digest_all`` asks for it. An empty table gives no rows; other columns are ignored."""
-    text = whole_text(text_col)
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), _slot(F.octet_length(text), F.substring(text.cast("binary"), 1, PREFIX_BYTES)).alias("slot"))
-    length_prefix = docs.select(F.octet_length(text).alias("length"), F.xxhash64(F.substring(text.cast("binary"), 1, PREFIX_BYTES)).alias("head"), _slot(F.octet_length(text), F.substring(text.cast("binary"), 1, PREFIX_BYTES)).alias("slot"))
-    shared = length_prefix.groupBy("length", "head", "slot").agg(F.count("*").alias("n")).filter("n > 1")
-    bitmaps = shared.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bitmaps = cut_lineage(bitmaps)
-    probed = keyed.withColumn("bucket", F.bitmap_bucket_number("slot")).join(F.broadcast(bitmaps), "bucket", "left")
-    position = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    survives = F.coalesce(F.expr("getbit(coalesce(byte, 0), cast(bit as int))") == 1, F.lit(False))
-    marked = probed.withColumn("byte", byte).withColumn("bit", F.pmod(position, F.lit(8))).select("id", "text", survives.alias("survives"))
-    full = F.sha2(F.col("text"), 256)
-    hashed = marked.select("id", "survives", F.when(F.lit(digest_all) | F.col("survives"), full).alias("text_sha256"))
-    groups = cut_lineage(hashed.filter("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
+    narrow = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    marked, flag = _survivors(narrow, "text")
+    survives = F.col(flag)
+    hashed = marked.select("id", survives.alias("survives"), F.when(F.lit(digest_all) | survives, F.sha2("text", 256)).alias("text_sha256"))
+    counted = hashed.filter("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = cut_lineage(counted.filter("group_size > 1"))
     grouped_rows = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     hot = max(LEAST_HOT, grouped_rows // MOST_HOT)
     # rows settled early, or by the broadcast, join nothing: their own key spreads them out
-    own_key = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    own_key = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("-"), F.rand(7).cast("string"))
     heavy = groups.filter(F.col("group_size") > hot).select(F.col("text_sha256").alias("key"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
     light = groups.filter(F.col("group_size") <= hot).select(F.col("text_sha256").alias("key"), "keep_id", "group_size")
     left = hashed.withColumn("key", F.when(F.col("survives"), F.col("text_sha256")).otherwise(own_key)).join(F.broadcast(heavy), "key", "left")
@@ -65,10 +79,19 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, all columns. Ids that go are removed by an anti-join on narrow keys;
-    rows whose id repeats, with the same text or another, are told apart by the text's hash."""
-    gone = duplicate_decisions(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.sha2(whole_text(text_col), 256) == F.col("__sha")), "left_anti")
+    """One row of each group of equal texts, all columns, whatever their names.
+
+    It is the row with the largest id. Null counts as empty; any id goes before none; of rows that
+    share the largest id, or all have none, one stays. An empty table gives no rows."""
+    marked, flag = _survivors(docs, text_col)
+    columns = own_columns(docs)
+    survives = F.col(flag)
+    single = marked.filter(~survives).select(*columns)
+    order = F.struct(F.col(f"`{id_col}`").isNotNull(), F.col(f"`{id_col}`"))
+    # maps can't be grouped by, but they can be carried
+    whole = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    chosen = marked.filter(survives).groupBy(F.sha2(whole_text(f"`{text_col}`"), 256).alias("sha")).agg(F.max_by(whole, order).alias("row"))
+    return single.union(chosen.select(*[F.col(f"row.c{i}").alias(name) for i, name in enumerate(docs.columns)]))
 
 
 ORACLE = """

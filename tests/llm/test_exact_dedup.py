@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from knitwork.llm.exact_dedup import drop_exact_duplicates, duplicate_decisions
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +31,15 @@ def test_small(spark):
     assert sparse[9] is None and sparse[1] is not None
     kept = drop_exact_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 4, 6, 7, 8, 8, None, None, 9, 10], key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 4, 6, 7, 8, None, 9, 10], key=repr)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a", 0, "x", {"k": 1}, 5), (2, "a", 1, "y", {"k": 2}, 6), (3, "b", 2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket int, bitmap string, survives map<string,int>, `a.b` int").withColumn("SHA", F.lit(1)).withColumn("row", F.lit("r"))
+    kept = drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.bucket, r["a.b"]) for r in kept.collect()) == [(2, 1, 6), (3, 2, None)]
 
 
 def test_empty(spark):
