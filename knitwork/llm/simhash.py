@@ -1,12 +1,16 @@
 """SimHash near-duplicates, linked through pivot distance tables.
 
-Fingerprints at most ``RADIUS`` bits apart differ in at most that many of ``BLOCKS`` bit blocks, so
-they agree in full on some two of the five: each distinct fingerprint goes into ten tables keyed by
-two blocks, and no link can be lost. Within a key the pivot table decides: the Hamming distance of
-every fingerprint to fixed reference fingerprints is a coordinate, and by the triangle inequality
-two fingerprints whose coordinates differ by more than ``RADIUS`` anywhere can't link. Survivors are
-verified by their own distance. From each key only the edges of a spanning forest come out, never
-all pairs, and a key with very many fingerprints is cut into tiles that meet pairwise.
+The pivot table is made once: for every distinct fingerprint its Hamming distances to ``PIVOTS`` fixed
+reference fingerprints, one byte each. By the triangle inequality two fingerprints whose coordinates
+differ by more than ``RADIUS`` anywhere can't link, so in every group of candidates the largest
+coordinate difference discards pairs first, and the distance itself verifies the survivors.
+
+Coordinates of 64 near-random bits lie within a few units of 32: cells of them that overlap enough to
+lose no link copy rows as fast as they split them. What brings candidates together is therefore that
+fingerprints at most ``RADIUS`` bits apart agree in full on some two of ``BLOCKS`` bit blocks: each goes
+into ten groups keyed by two blocks, and no link can be lost. From each group only the edges of a
+spanning forest come out, never all pairs, and one with very many fingerprints is cut into tiles that
+meet pairwise. Nodes are the fingerprints themselves, so rows without an id link like any other.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import cut_lineage, whole_text, words_of
+from knitwork.llm.common import cut_lineage, fresh, give_back, own_columns, whole_text, words_of
 from knitwork.operators.components import connected_components
 
 SEED = 42
@@ -26,6 +30,8 @@ RADIUS = 3
 #: Bits of each block, from the lowest.
 BLOCK_BITS = (13, 13, 13, 13, 12)
 PIVOTS = 16
+#: Fingerprints of more rows than either are hot; there are at most ``MOST_HOT`` of them.
+LEAST_HOT, MOST_HOT = 500, 1_024
 #: Rows of a tile; keys with more are cut into tiles, each pair of which meets in one group.
 TILE = 4_096
 
@@ -79,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) ->
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long")
 
@@ -90,11 +97,38 @@ def table_keys(fp: Column) -> Column:
     return F.array(*[F.shiftleft(blocks[i], 13).bitwiseOR(blocks[j]).bitwiseOR(F.lit(t << 26)) for t, (i, j) in enumerate(combinations(range(len(blocks)), 2))])
 
 
-def forest(fps: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
+def coordinates(fps: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table: the distance of each fingerprint to each reference."""
+    return np.bitwise_count(fps[:, None] ^ reference[None, :]).astype(np.int8)
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """``distinct``'s fp with its coordinates, ``PIVOTS`` bytes."""
+    reference = pivots()
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            flat = coordinates(fps.view(np.uint64), reference).tobytes()
+            at = pa.array(np.arange(0, len(flat) + 1, PIVOTS, dtype=np.int32)).buffers()[1]
+            table = pa.Array.from_buffers(pa.binary(), len(fps), [None, at, pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), table], ["fp", "pivots"])
+
+    return distinct.select("fp").mapInArrow(rows, "fp long, pivots binary")
+
+
+def near(fps: np.ndarray, table: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that link to x: by coordinates first, survivors by distance."""
+    others = others[np.abs(table[others] - table[x]).max(axis=1) <= RADIUS]
+    return others[np.bitwise_count(fps[others] ^ fps[x]) <= RADIUS]
+
+
+def forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     """Index pairs that span each group of fingerprints linked within ``RADIUS``: breadth-first,
-    each row compared with those not reached yet. Rows are sorted by the first coordinate, which
-    bounds the candidates; the other coordinates discard most, and distance verifies the rest."""
-    table = np.bitwise_count(fps[:, None] ^ reference[None, :]).astype(np.int8)
+    each row compared with those not reached yet. Rows are sorted by the first coordinate, of which
+    only a window can link; the other coordinates discard most of that."""
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     first = table[:, 0].astype(np.int64)
@@ -108,27 +142,24 @@ def forest(fps: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
         queue = [root]
         while queue:
             x = queue.pop()
-            near = low[x] + np.flatnonzero(unreached[low[x] : high[x]])
-            if len(near) > 64:
-                near = near[np.abs(table[near] - table[x]).max(axis=1) <= RADIUS]
-            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= RADIUS]
-            unreached[near] = False
-            edges += [(x, y) for y in near.tolist()]
-            queue += near.tolist()
+            found = near(fps, table, x, low[x] + np.flatnonzero(unreached[low[x] : high[x]]))
+            unreached[found] = False
+            edges += [(x, y) for y in found.tolist()]
+            queue += found.tolist()
     return [(int(order[a]), int(order[b])) for a, b in edges]
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(src, dst) of representatives, spanning all links between distinct fingerprints.
-    ``distinct`` has fp and rep. Groups are read from sorted partitions, one at a time."""
-    keyed = distinct.select("fp", "rep", F.explode(table_keys(F.col("fp"))).alias("key"))
+    """(src, dst) of fingerprints, spanning all links between the distinct ``fp`` of a table.
+    Groups are read from sorted partitions, one at a time."""
+    table = cut_lineage(pivot_table(distinct))
+    keyed = table.select("fp", "pivots", F.explode(table_keys(F.col("fp"))).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("crowded"), "n")
     parts = F.when(F.col("n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("n") / (TILE / 2)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     tiled = keyed.join(crowded, keyed["key"] == crowded["crowded"], "left").withColumn("parts", parts).withColumn("own", own)
-    tiles = tiled.select("key", "fp", "rep", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(own, j) as a, greatest(own, j) as b))")).alias("tile"))
-    dealt = tiles.select("key", "tile.a", "tile.b", "fp", "rep").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    reference = pivots()
+    tiles = tiled.select("key", "fp", "pivots", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(own, j) as a, greatest(own, j) as b))")).alias("tile"))
+    dealt = tiles.select("key", "tile.a", "tile.b", "fp", "pivots").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def edges(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -136,23 +167,26 @@ def links(distinct: DataFrame) -> DataFrame:
         rest: tuple[np.ndarray, ...] | None = None
 
         def groups(columns: tuple[np.ndarray, ...], last: bool):
-            key, a, b, fp, rep = columns
+            key, a, b, fp, table = columns
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
             done = len(starts) if last else len(starts) - 1
+            sizes = (ends - starts)[:done]
             found = []
-            for s, e in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True):
-                if e - s == 2:
-                    if int(fp[s] ^ fp[s + 1]).bit_count() <= RADIUS:
-                        found.append((rep[s], rep[s + 1]))
-                elif e - s > 2:
-                    found += [(rep[s + x], rep[s + y]) for x, y in forest(fp[s:e], reference)]
-            src, dst = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"]), int(starts[done]) if done < len(starts) else len(key)
+            # groups of two, all at once: coordinates first, then distance
+            two = starts[:done][sizes == 2]
+            two = two[np.abs(table[two] - table[two + 1]).max(axis=1) <= RADIUS] if len(two) else two
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+            found += [(int(fp[s]), int(fp[s + 1])) for s in two]
+            for s, e in zip(starts[:done][sizes > 2].tolist(), ends[:done][sizes > 2].tolist(), strict=True):
+                found += [(int(fp[s + x]), int(fp[s + y])) for x, y in forest(fp[s:e], table[s:e])]
+            ends_ = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ends_[:, 0]), pa.array(ends_[:, 1])], ["src", "dst"]), int(starts[done]) if done < len(starts) else len(key)
 
         for batch in batches:
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             own[3] = own[3].view(np.uint64)
+            own.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8).reshape(-1, PIVOTS))
             rest = tuple(own) if rest is None else tuple(np.concatenate(x) for x in zip(rest, own, strict=True))
             if len(rest[0]):
                 out, used = groups(rest, False)
@@ -160,6 +194,8 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield out
         if rest is not None and len(rest[0]):
             yield groups(rest, True)[0]
+        rest = None
+        give_back()
 
     return dealt.mapInArrow(edges, "src long, dst long")
 
@@ -167,21 +203,44 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable over links.
 
-    Null counts as an empty text, whose fingerprint is zero and links like any other; a row with a
-    null id takes part in links only through its fingerprint, and where a component has no other
-    ids its component_id is null. Repeated rows give repeated results; an empty table none."""
+    Null counts as an empty text, whose fingerprint is zero and links like any other. Links are
+    between fingerprints: a row with a null id takes part in them, also as a bridge between others,
+    and where a component has no ids its component_id is null; a repeated id with different texts
+    joins nothing. Repeated rows give repeated results; an empty table none; other columns are not
+    read. Rows of fingerprints that very many share get their component by a broadcast of at most
+    ``MOST_HOT`` rows, the others by a join whose keys then are not hot."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # without an id of its own a fingerprint still needs a node: a number below all ids stands in
-    found = connected_components(links(distinct.filter("rep is not null")))
-    labels = distinct.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("label_fp"), F.coalesce("component", "rep").alias("component_id"))
-    joined = prints.join(labels, prints["fp"] == labels["label_fp"], "left")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = connected_components(links(distinct)).select(F.col("id").alias("fp"), "component")
+    linked = cut_lineage(distinct.join(found, "fp"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = linked.join(least, "component").select("fp", "component_id")
+    labels = cut_lineage(distinct.join(labels.withColumn("in", F.lit(True)), "fp", "left").select("fp", "n", F.when(F.col("in"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")))
+    rows = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = max(LEAST_HOT, rows // MOST_HOT)
+    heavy = labels.filter(F.col("n") > hot).select("fp", F.struct("component_id").alias("of_hot"))
+    light = labels.filter(F.col("n") <= hot).select(F.col("fp").alias("light_fp"), "component_id")
+    left = prints.join(F.broadcast(heavy), "fp", "left")
+    # rows that have their component join nothing: null keys, spread by a random part of the join
+    key = F.when(F.col("of_hot").isNull(), F.col("fp"))
+    spread = F.when(F.col("of_hot").isNotNull(), F.floor(F.rand(7) * 4_096)).otherwise(0)
+    joined = left.withColumn("key", key).withColumn("spread", spread).join(light.withColumn("zero", F.lit(0).cast("long")).hint("merge"), (F.col("key") == F.col("light_fp")) & (F.col("spread") == F.col("zero")), "left")
+    component = F.when(F.col("of_hot").isNotNull(), F.col("of_hot.component_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows whose id is the smallest of their component; all columns. Rows without an id stay,
-    and so do all rows of an id that repeats if one of them stays."""
-    found = near_duplicates(docs, id_col, text_col, width).filter("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component: that with its smallest id; all columns, whatever their names.
+
+    Rows are told apart by their place, not by id: of those that share the smallest id, or have
+    none, the first one stays. Null counts as an empty text; an empty table gives no rows."""
+    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    rows = cut_lineage(docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(docs))], F.monotonically_increasing_id().alias(row)))
+    names = docs.columns
+    at = {name: f"c{i}" for i, name in enumerate(names)}
+    # the row number takes the id's place: components of all rows, then the best row of each
+    found = near_duplicates(rows, row, at[text_col], width)
+    ids = rows.select(F.col(row).alias("doc_id"), F.col(at[id_col]).alias("id"))
+    best = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
+    stays = best.select(F.col("first.doc_id").alias(gone))
+    return rows.join(stays, rows[row] == stays[gone], "left_semi").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
