@@ -3,7 +3,8 @@
 DataFrame functions only. Offsets come from splitting a text at the matches of a pattern: the gaps
 and the matches alternate, so their running lengths are the code-point offsets. The patterns are
 linear in the text: possessive runs, and starts only at the head of a run or the end of the last
-match, which finds the same leftmost matches as the plain forms.
+match, which finds the same leftmost matches as the plain forms. Spans are gathered in chunks, as
+appending to an array copies it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ IBAN_LENGTHS = dict(x.split(":") for x in "NO:15 BE:16 BI:27 DK:18 FO:18 FI:18 F
 IP_PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 
+SPAN = "struct<start:bigint,finish:bigint,value:string,around:string>"
+#: Spans that are gathered one by one.
+CHUNK = 256
+#: Code points on either side in which context words count; beyond the neighbouring match and the
+#: text next to that none do.
+CONTEXT = 40
+
+
 def luhn(match: Column) -> Column:
     """16 to 19 digits whose Luhn sum is a multiple of ten."""
     digits = F.reverse(F.translate(match, " -", ""))
@@ -70,17 +79,45 @@ def _ibans(text: Column) -> Column:
     # a line break before the text keeps the first piece where a run begins at once
     pieces = F.split(F.concat(F.lit("\n"), text), IBAN, -1)
     runs = F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))
-    empty = F.array().cast("array<struct<start:bigint,finish:bigint,value:string>>")
+    # a run is looked at, not taken: the piece after it begins with it
+    beside = lambda p: F.transform(p["runs"], lambda r, i: F.struct(r.alias("run"), F.length(p["pieces"][i]).alias("gap"), F.right(p["pieces"][i], F.lit(CONTEXT)).alias("before"), F.substring(p["pieces"][i + 1], 1, CONTEXT + 40).alias("after")))
+    gaps = _let(F.struct(pieces.alias("pieces"), runs.alias("runs")), beside)
 
-    def place(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
+    def place(state: Column, x: Column) -> tuple[Column, Column]:
+        at = state["at"] + x["gap"]
         value = _iban_end(x["run"])
-        span = F.struct(at.alias("start"), (at + F.length(value)).alias("finish"), value.alias("value"))
-        good = (value != "") & (at >= acc["free"])
-        return F.struct(at.alias("at"), F.when(good, at + F.length(value)).otherwise(acc["free"]).alias("free"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        finish = at + F.length(value)
+        good = (value != "") & (at >= state["free"])
+        around = F.concat(x["before"], F.lit(" "), F.substring(x["after"], F.length(value) + 1, F.lit(CONTEXT)))
+        span = F.struct(at.alias("start"), finish.alias("finish"), value.alias("value"), around.alias("around"))
+        return F.struct(at.alias("at"), F.when(good, finish).otherwise(state["free"]).alias("free")), F.when(good, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return _gather(gaps, F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("free")), place)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a loop in it, uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _gather(items: Column, state: Column, step) -> Column:
+    """array<struct<start, finish, value>>: ``step(state, item)`` gives the state and the spans that it
+    adds (an array of none or one). A chunk's spans are appended one by one, chunks as wholes, so each
+    span is copied some ``CHUNK`` times at most, and once for every chunk after its own as a reference."""
+    none = F.array().cast(f"array<{SPAN}>")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / CHUNK).cast("int"), F.lit(0))), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK)))
+    chunks = _let(items, cut)
+
+    def inside(acc: Column, item: Column) -> Column:
+        after, spans = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["spans"], spans).alias("spans"))
 
-    gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(runs)), runs, lambda g, r: F.struct(F.length(g).alias("gap"), r.alias("run")))
-    return F.aggregate(gaps, F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("free"), empty.alias("spans")), place, lambda acc: acc["spans"])
+    def outside(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("spans")), inside)
+        return F.struct(done["state"].alias("state"), F.concat(acc["chunks"], F.array(done["spans"])).alias("chunks"))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("chunks"))
+    return F.aggregate(chunks, start, outside, lambda acc: F.flatten(acc["chunks"]))
 
 
 def _digits_between(low: int, high: int):
@@ -111,32 +148,37 @@ KINDS = (
 )
 #: Spans the method adds stay from this score on.
 THRESHOLD = 0.5
-#: Code points on either side in which context words count.
-CONTEXT = 40
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<kind, start, finish, score>> of the confirmed spans, in order."""
     gaps = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    start = F.lit(0).cast("long")
-    empty = F.array().cast("array<struct<start:long,finish:long,value:string>>")
+    # what surrounds a match is taken from the pieces beside it: a place in a long text is slow to reach
+    short = lambda c, n=CONTEXT: F.coalesce(F.substring(c, 1, n), F.lit(""))
+    end = lambda c: F.coalesce(F.right(c, F.lit(CONTEXT)), F.lit(""))
+
+    def beside(p: Column) -> Column:
+        g, f = p["gaps"], p["found"]
+        at = lambda c, i: F.get(c, i)
+        before = lambda i: F.right(F.concat(end(at(g, i - 1)), end(at(f, i - 1)), end(g[i])), F.lit(CONTEXT))
+        after = lambda i: short(F.concat(short(g[i + 1]), short(at(f, i + 1)), short(at(g, i + 2))))
+        return F.transform(f, lambda m, i: F.struct(m.alias("value"), F.length(g[i]).alias("gap"), F.concat(before(i), F.lit(" "), after(i)).alias("around")))
+
+    pairs = _let(F.struct(gaps.alias("gaps"), found.alias("found")), beside)
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start, finish = at + x["gap"], at + x["gap"] + F.length(x["value"])
+        return finish, F.array(F.struct(start.alias("start"), finish.alias("finish"), x["value"].alias("value"), x["around"].alias("around")))
+
     # gap, match, gap, match, ...: each match starts after all lengths before it
-    placed = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))),
-        F.struct(start.alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("finish"), x["value"].alias("value")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    placed = _gather(pairs, F.lit(0).cast("long"), place)
     confirmed = _ibans(text) if kind.name == "iban" else F.filter(placed, lambda s: kind.valid(s["value"]))
+
     def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        around = F.concat(F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit(" "), F.substring(text, (s["finish"] + 1).cast("int"), F.lit(CONTEXT)))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(around.rlike(kind.words), 0.3).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["around"].rlike(kind.words), 0.3).otherwise(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["finish"].alias("finish"), score.alias("score"))
+
     out = F.transform(confirmed, scored)
     out = out if kind.base else F.filter(out, lambda s: s["score"] >= THRESHOLD)
     none = F.array().cast("array<struct<kind:string,start:bigint,finish:bigint,score:double>>")
@@ -150,12 +192,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no spans; null ids and repeated rows are rows like any other; texts
     are read whole; an empty table gives no rows; other columns are ignored."""
-    text = F.col("__text")
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("__text"))
-    return rows.select(id_col, *[spans_of(text, k).alias(k.name) for k in KINDS])
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    return rows.select(F.col("id").alias(id_col), *[spans_of(F.col("text"), k).alias(k.name) for k in KINDS])
 
 
 def personal_data_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, counts by kind, base_sha256 and spans, as the contract of its query has them, for
+    every row; nulls, empty texts and tables, repeated rows and other columns as in
+    ``find_personal_data``."""
     found = find_personal_data(docs, id_col, text_col)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))
     joined = lambda kinds: F.array_join(F.concat(*[F.transform(k.name, line) for k in kinds]), ",")
