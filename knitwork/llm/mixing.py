@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knitwork.llm.common import cut_lineage, whole_text
+from knitwork.llm.common import cut_lineage, fresh, own_columns, whole_text
 
 STEPS = 50
 #: Hexadecimal digits of a block's number: 4,096 blocks for each source and epoch.
@@ -37,29 +37,38 @@ def permutation_key(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 def source_weights(tokens: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
     """source, tokens, alpha, weight, quota from (source, n_tokens) rows. One aggregated row holds
-    the shares; the bisection is an expression over it.
+    the distinct shares with the number of sources that have each, so it stays short where there
+    are very many small sources; a step of the bisection is one pass over it.
 
     max_repeats: the smallest exponent at which no source comes more often than that (without a
     budget: relative to the least repeated one). target_entropy: the largest exponent whose weights
     have that entropy in nats. With both, the larger exponent holds, so the limit is kept."""
     sources = tokens.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("t"))
-    row = sources.agg(F.collect_list("t").alias("ts"), F.sum("t").alias("total"))
-    shares = F.transform(F.filter("ts", lambda t: t > 0), lambda t: t / F.col("total"))
-    add = lambda a, x: a + x
+    sizes = sources.groupBy("t").agg(F.count("*").cast("double").alias("n"))
+    row = sizes.agg(F.collect_list(F.struct("t", "n")).alias("sizes"), F.sum(F.col("t") * F.col("n")).alias("total"))
+    shares = F.transform(F.filter("sizes", lambda s: s["t"] > 0), lambda s: F.struct((s["t"] / F.col("total")).alias("p"), s["n"].alias("n")))
+    row = row.select("total", shares.alias("shares"))
+    row = row.withColumn("least", F.array_min(F.transform("shares", lambda s: s["p"]))).withColumn("most", F.array_max(F.transform("shares", lambda s: s["p"])))
 
-    def weights(alpha: Column) -> Column:
-        powers = F.transform("shares", lambda p: F.pow(p, alpha))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), add))
-
-    def ratios(alpha: Column) -> Column:
-        return F.zip_with(weights(alpha), "shares", lambda w, p: w / p)
+    def whole(alpha: Column) -> Column:
+        """Sum of all p**alpha."""
+        return F.aggregate("shares", F.lit(0.0), lambda a, s: a + s["n"] * F.pow(s["p"], alpha))
 
     def repeats(alpha: Column) -> Column:
-        most = F.array_max(ratios(alpha))
-        return most / F.array_min(ratios(alpha)) if budget is None else most * F.lit(float(budget)) / F.col("total")
+        """weight / share is largest for the smallest share, and smallest for the largest."""
+        if budget is None:
+            return F.pow(F.col("least"), alpha - 1) / F.pow(F.col("most"), alpha - 1)
+        return F.pow(F.col("least"), alpha - 1) / whole(alpha) * F.lit(float(budget)) / F.col("total")
 
     def entropy(alpha: Column) -> Column:
-        return -F.aggregate(weights(alpha), F.lit(0.0), lambda a, w: a + F.when(w > 0, w * F.ln(w)).otherwise(0.0))
+        """ln Z - alpha * sum of p**alpha ln p / Z, with Z the sum of all p**alpha; both in one pass."""
+        start = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("l"))
+
+        def add(acc: Column, s: Column) -> Column:
+            x = s["n"] * F.pow(s["p"], alpha)
+            return F.struct((acc["z"] + x).alias("z"), (acc["l"] + x * F.ln(s["p"])).alias("l"))
+
+        return F.aggregate("shares", start, add, lambda acc: F.ln(acc["z"]) - alpha * acc["l"] / acc["z"])
 
     def bisect(low_side) -> Column:
         """Largest alpha in [0, 1] up to which ``low_side`` holds, where it holds from 0 on."""
@@ -68,7 +77,7 @@ def source_weights(tokens: DataFrame, max_repeats: float | None, target_entropy:
         def step(s: Column, _: Column) -> Column:
             mid = (s["lo"] + s["hi"]) / 2
             below = low_side(mid)
-            return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+            return F.when(below, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: F.round(s["hi"], 9))
 
@@ -78,11 +87,10 @@ def source_weights(tokens: DataFrame, max_repeats: float | None, target_entropy:
     if target_entropy is not None:
         found.append(F.when(entropy(F.lit(1.0)) >= target_entropy, 1.0).otherwise(bisect(lambda a: entropy(a) >= target_entropy)))
     alpha = F.lit(1.0) if len(found) == 1 else F.greatest(*found)
-    solved = row.withColumn("shares", shares).select("total", "shares", F.coalesce(alpha, F.lit(1.0)).alias("alpha"))
-    whole = F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("alpha"))), F.lit(0.0), add)
-    solved = solved.select("total", "alpha", whole.alias("whole"), "shares")
-    spent = F.lit(float(budget)) if budget is not None else F.array_max(F.transform("shares", lambda p: F.pow(p, F.lit(1.0) - F.col("alpha")))) * F.col("total") * F.col("whole")
-    solved = solved.select("total", "alpha", "whole", spent.alias("budget"))
+    # written, as the planner would copy the bisection into every use of its result
+    solved = cut_lineage(row.withColumn("alpha", F.coalesce(alpha, F.lit(1.0))))
+    spent = F.lit(float(budget)) if budget is not None else F.pow(F.col("most"), F.lit(1.0) - F.col("alpha")) * F.col("total") * F.col("whole")
+    solved = solved.withColumn("whole", whole(F.col("alpha"))).select("total", "alpha", "whole", spent.alias("budget"))
     weight = F.when(F.col("t") > 0, F.pow(F.col("t") / F.col("total"), F.col("alpha")) / F.col("whole")).otherwise(0.0)
     # one row on the right: a lookup of scalars, not a product of tables
     joined = sources.join(F.broadcast(solved), F.lit(True))
@@ -109,15 +117,19 @@ def plan_mixture(docs: DataFrame, max_repeats: float | None = 2.0, target_entrop
     return sources.join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", F.lit("")))
 
 
-def _copies(docs: DataFrame, plan: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
-    """The rows of ``docs`` once for each epoch they come in, with __epoch and __key."""
-    plan = cut_lineage(plan.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"), F.col("weight").alias("__weight"), F.col("alpha").alias("__alpha")))
+def _copies(docs: DataFrame, plan: DataFrame, seed: int, id_col: str, source_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of ``docs`` once for each epoch they come in, and the names of the columns added:
+    epoch, key, weight, alpha."""
+    own = {n: fresh(docs, f"mix_{n}") for n in ("source", "whole", "cut", "weight", "alpha", "epochs", "epoch", "key")}
+    plan = cut_lineage(plan.select(*[F.col(n).alias(own[n]) for n in ("source", "whole", "cut", "weight", "alpha")]))
     small = F.broadcast(plan) if plan.count() <= MAX_BROADCAST_SOURCES else plan
-    joined = docs.join(small, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("__source"))
-    again = permutation_key(F.col("__whole"), F.col(id_col), seed) <= F.col("__cut")
-    epochs = F.col("__whole").cast("int") + again.cast("int")
-    exploded = joined.withColumn("__epochs", epochs).filter("__epochs > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
-    return exploded.withColumn("__key", permutation_key(F.col("__epoch"), F.col(id_col), seed))
+    doc = F.col(f"`{id_col}`")
+    joined = docs.join(small, F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")) == F.col(own["source"]))
+    again = permutation_key(F.col(own["whole"]), doc, seed) <= F.col(own["cut"])
+    epochs = F.col(own["whole"]).cast("int") + again.cast("int")
+    counted = joined.withColumn(own["epochs"], epochs).filter(F.col(own["epochs"]) > 0)
+    exploded = counted.withColumn(own["epoch"], F.explode(F.sequence(F.lit(0), F.col(own["epochs"]) - 1)))
+    return exploded.withColumn(own["key"], permutation_key(F.col(own["epoch"]), doc, seed)), own
 
 
 def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
@@ -129,14 +141,15 @@ def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col:
     come; an empty table gives no rows; other columns are ignored."""
     plan = plan_mixture(docs, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **targets)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), word_count(whole_text(text_col)).alias("n_tokens"))
-    out = _copies(rows, plan, seed, "doc_id", "source")
-    return out.select("doc_id", "source", "n_tokens", F.col("__epoch").alias("epoch"), F.substring("__key", 1, BLOCK_DIGITS).alias("block"), F.col("__key").alias("order_key"), F.round("__alpha", 9).alias("alpha"), F.round("__weight", 9).alias("weight"))
+    out, own = _copies(rows, plan, seed, "doc_id", "source")
+    return out.select("doc_id", "source", "n_tokens", F.col(own["epoch"]).alias("epoch"), F.substring(own["key"], 1, BLOCK_DIGITS).alias("block"), F.col(own["key"]).alias("order_key"), F.round(own["alpha"], 9).alias("alpha"), F.round(own["weight"], 9).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
-    """The mixture as rows of ``docs``, all columns: a document is there once for each epoch."""
+    """The mixture as rows of ``docs``, all columns, whatever their names: a document is there once
+    for each epoch. Nulls, empty texts and tables and repeated rows as in ``mixture``."""
     plan = plan_mixture(docs, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **targets)
-    return _copies(docs, plan, seed, id_col, source_col).select(*[docs[c] for c in docs.columns])
+    return _copies(docs, plan, seed, id_col, source_col)[0].select(*own_columns(docs))
 
 
 ORACLE = r"""

@@ -52,7 +52,7 @@ def test_realised(spark, targets):
     weight = {r.source: r.weight for r in rows}
     budget = targets.get("budget") or max(have[s] / weight[s] for s in have)
     for s in have:
-        assert -1 <= got[s] - weight[s] * budget < 18  # the document at the quota comes whole
+        assert -0.5 <= got[s] - weight[s] * budget < 18  # the document at the quota comes whole
         *whole, last = [epochs[s][e] for e in sorted(epochs[s])]
         assert all(n == have[s] for n in whole)
         if targets.get("max_repeats"):
@@ -73,3 +73,21 @@ def test_awkward_rows(spark):
     assert Counter(r.doc_id for r in got if r.epoch == 0) == Counter([1, 2, 2, None, 3, 4])
     assert mixture(df.limit(0)).count() == 0 and mixed_documents(df.limit(0)).count() == 0
     assert mixture(df.filter("source = 'empty'")).count() == 1
+
+
+def test_many_sources(spark):
+    """One pass a step: ten thousand sources of a hundred sizes."""
+    rows = spark.range(10_000).selectExpr("cast(id as string) as source", "1 + id % 100 as n_tokens")
+    got = source_weights(rows, 4.0, 8.0, None)
+    assert got.count() == 10_000
+    first = got.agg({"weight": "sum", "alpha": "max"}).first()
+    assert math.isclose(first["sum(weight)"], 1.0, abs_tol=1e-9) and 0 < first["max(alpha)"] <= 1
+
+
+def test_clashing_names(spark):
+    docs = documents(spark).limit(50)
+    for name in ("mix_source", "mix_key", "mix_epoch", "MIX_CUT", "whole", "key"):
+        docs = docs.withColumn(name, docs.doc_id * 0 + 7)
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert {r.mix_key for r in out.collect()} == {7} and out.count() >= 50
