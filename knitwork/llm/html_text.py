@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knitwork.llm.common import give_back
+
 # Elements of HTML by their role, and words by which sites name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -35,6 +37,8 @@ MODIFIERS = frozenset("has with without no not".split())
 STATES = frozenset("open opened closed collapsed expanded enabled disabled active fixed result results page template layout".split())
 #: What the header is of, where it belongs to the article.
 OWN_HEADERS = frozenset("article post entry content story".split())
+#: Words that may follow such a name without changing what it says.
+PARTS = frozenset("area bar block blocks body bottom box button buttons column container content footer group header holder icons inner items left link links list main panel placeholder posts primary right row secondary section slot stories text top unit wrap wrapper zone".split())
 #: Names that stay excluded however much text they take.
 NEVER_BACK = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal comment comments commentlist respond reply replies disqus".split())
 #: Elements that a new one of the same group ends, if nothing of the second group lies between.
@@ -44,30 +48,38 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path")
+    """at: number of the innermost container around the text."""
+
+    __slots__ = ("text", "tags", "linked", "at")
 
-    def __init__(self, text: str, tags: int, linked: int, path: tuple[int, ...]):
-        self.text, self.tags, self.linked, self.path = text, tags, linked, path
+    def __init__(self, text: str, tags: int, linked: int, at: int):
+        self.text, self.tags, self.linked, self.at = text, tags, linked, at
 
 
 class LineParser(HTMLParser):
-    """Folds events into lines. The stack has (tag, container number, excluded)."""
+    """Folds events into lines. The stack has (tag, container number, excluded). Containers are
+    numbered as they open, and each knows the one around it: a line holds one number, however deep
+    it is. Container 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.containers: dict[int, str] = {}
+        self.kinds: list[str] = [""]
+        self.parents: list[int] = [0]
         self.named: dict[int, frozenset[str]] = {}
         self._stack: list[tuple[str, int, bool]] = []
+        self._open: Counter = Counter()
         self._parts: list[str] = []
         self._tags = self._linked = self._link = 0
 
+    def _within_article(self) -> bool:
+        return self._open["article"] + self._open["main"] > 0
+
     def _excluded(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        within = any(t in ("article", "main") for t, _, _ in self._stack)
         if tag == "header":
-            return not within
+            return not self._within_article()
         if not attrs or tag in ("html", "body", "main"):
             return False
         found = dict(attrs)
@@ -85,8 +97,14 @@ class LineParser(HTMLParser):
             words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), None)]
             if len(words) > 1 and words[-1] in STATES:
                 continue
-            said = set(words) & (NOT_ARTICLES if tag == "article" else NAMES)
-            if len(words) > 1 and words[-1] == "header" and (OWN_HEADERS & set(words) or any(t in ("article", "main") for t, _, _ in self._stack)):
+            while words and words[-1].isdigit():
+                words.pop()
+            while len(words) > 1 and words[-1] in PARTS - NAMES:
+                words.pop()
+            # what the name ends in says what the element is: "cookie-notice" is one, "ad-free" isn't
+            said = set(words[-1:]) & (NOT_ARTICLES if tag == "article" else NAMES)
+            said |= set(words[:-1]) & NAMES if said and tag != "article" else set()
+            if len(words) > 1 and words[-1] == "header" and (OWN_HEADERS & set(words) or self._within_article()):
                 said.discard("header")
             out |= said
         return frozenset(out)
@@ -95,14 +113,15 @@ class LineParser(HTMLParser):
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                path = tuple(n for _, n, _ in self._stack)
-                self.lines.append(Line(text, self._tags, self._linked, path))
+                self.lines.append(Line(text, self._tags, self._linked, self._stack[-1][1] if self._stack else 0))
                 self._tags = 0
             self._parts, self._linked = [], 0
 
     def _pop(self, depth: int) -> None:
         if any(n in self.named for _, n, _ in self._stack[depth:]):
             self._break()
+        for t, _, _ in self._stack[depth:]:
+            self._open[t] -= 1
         del self._stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -132,11 +151,13 @@ class LineParser(HTMLParser):
         if block or out or names:
             if (out or names) and not above:
                 self._break()
-            number = len(self.containers)
+            number = len(self.kinds)
             if names:
                 self.named[number] = names
-            self.containers[number] = tag
+            self.kinds.append(tag)
+            self.parents.append(self._stack[-1][1] if self._stack else 0)
             self._stack.append((tag, number, out))
+            self._open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # in HTML the slash means nothing but on void elements; svg and the like are skipped anyway
@@ -150,6 +171,8 @@ class LineParser(HTMLParser):
             self._link = max(0, self._link - 1)
         if tag in BLOCKS:
             self._break()
+        if not self._open[tag]:
+            return
         for depth in range(len(self._stack) - 1, -1, -1):
             if self._stack[depth][0] == tag:
                 self._pop(depth)
@@ -169,11 +192,17 @@ class LineParser(HTMLParser):
         self._break()
 
 
+_MARKED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[[^>]*(?:>|\Z)", re.S)
+
+
 def parse(html: str) -> LineParser:
-    for source in (html, html.replace("<!", "&lt;!")):  # a broken declaration is then text
+    """A marked section that the parser can't read is dropped up to its end, as browsers do; comments
+    stay comments."""
+    drop = lambda m: m.group() if m.group().startswith("<!--") else ""
+    for clean in (False, True):
         parser = LineParser()
         try:
-            parser.feed(source)
+            parser.feed(_MARKED.sub(drop, html) if clean else html)
             parser.close()
             return parser
         except AssertionError:
@@ -191,7 +220,12 @@ def smooth(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
 
 def content_lines(parser: LineParser) -> list[Line]:
     """The lines outside what is named as no content; tags met in between count for the next line."""
-    names = [frozenset().union(*[parser.named[n] for n in x.path if n in parser.named]) for x in parser.lines]
+    none: frozenset[str] = frozenset()
+    above = [none]  # of each container the names of all around it; few have any
+    for n in range(1, len(parser.kinds)):
+        outer = above[parser.parents[n]]
+        above.append(outer | parser.named[n] if n in parser.named else outer)
+    names = [above[x.at] for x in parser.lines]
     weight: Counter = Counter()
     total = 0
     for line, own in zip(parser.lines, names, strict=True):
@@ -215,21 +249,33 @@ def main_text(html: str | None) -> str:
     lines = content_lines(parser)
     if not lines:
         return ""
-    kind = parser.containers
+    kind, parents = parser.kinds, parser.parents
+    listed_in, last = [False], list(range(len(kind)))
+    for n in range(1, len(kind)):
+        listed_in.append(kind[n] == "li" or listed_in[parents[n]])
+    for n in range(len(kind) - 1, 0, -1):  # containers are numbered from the outside in
+        last[parents[n]] = max(last[parents[n]], last[n])
     sizes = np.array([len(x.text) for x in lines], float)
     ratios = sizes / np.array([max(x.tags, 1) for x in lines])
     smoothed = smooth(ratios)
-    listed = np.array([x.linked >= 0.9 * len(x.text) and any(kind[n] == "li" for n in x.path) for x in lines])
+    listed = np.array([x.linked >= 0.9 * len(x.text) and listed_in[x.at] for x in lines])
     seeds = smoothed >= min(smoothed.std(), smoothed.max())
     seeds = np.flatnonzero(seeds & ~listed if (seeds & ~listed).any() else seeds)
-    # containers are numbered from the outside in
-    around = set(lines[seeds[0]].path).intersection(*[lines[i].path for i in seeds[1:]])
-    article = max((n for n in around if kind[n] in ("article", "main")), default=None)
-    region = article if article is not None else max((n for n in around if kind[n] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6")), default=None)
-    if region is None or kind[region] in ("html", "body"):
+    # the innermost container around all seeds: it opens no later than any, and ends no earlier
+    low, high = min(lines[i].at for i in seeds), max(lines[i].at for i in seeds)
+    region = low
+    while last[region] < high:
+        region = parents[region]
+    article = region
+    while article and kind[article] not in ("article", "main"):
+        article = parents[article]
+    while not article and kind[region] in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
+        region = parents[region]
+    region = article or region
+    if not region or kind[region] in ("html", "body"):
         # nothing marks where the content begins: lists of links above it are menus
         return "\n".join(x.text for i, x in enumerate(lines) if i >= seeds[0] or not listed[i])
-    return "\n".join(x.text for x in lines if region in x.path)
+    return "\n".join(x.text for x in lines if region <= x.at <= last[region])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -243,5 +289,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        give_back()
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(rows, "page_id long, url string, text string, n_chars long")
