@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knitwork.functions.text import model_families, text
 from knitwork.functions.values import f1, safe_div
 from knitwork.operators.components import connected_components
+from knitwork.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -91,25 +93,50 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, config: ClusterCo
 
     schema = "uid string, cluster_root string, left_uid string, right_uid string, match_probability double, decision string, reason string, roots string"
     merged = rows.groupBy("component").cogroup(linked.groupBy("linked_component")).applyInPandas(merge, schema)
-    from knitwork.session import cut_lineage
-
     merged = cut_lineage(merged)
     members = merged.filter("uid is not null").select("uid", "cluster_root")
     lone = records.join(members, "uid", "left_anti").select("uid", F.col("uid").alias("cluster_root"))
     return members.unionByName(lone), merged.filter("uid is null").select("left_uid", "right_uid", "match_probability", "decision", "reason", "roots")
 
 
-def cluster_rows(memberships: DataFrame, records: DataFrame, truth: DataFrame) -> DataFrame:
+def component_members(records: DataFrame, edges: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
+    """(uid, cluster_root) by connected components alone, over all edges of at least
+    ``component_probability``: what constrained clusters are compared with. A record without an edge
+    is its own component."""
+    linked = edges.filter(F.col("match_probability") >= config.component_probability)
+    found = connected_components(linked, "left_uid", "right_uid").select(F.col("id").alias("uid"), F.col("component").alias("cluster_root"))
+    lone = records.select("uid").join(found, "uid", "left_anti").select("uid", F.col("uid").alias("cluster_root"))
+    return found.join(records.select("uid"), "uid", "left_semi").unionByName(lone)
+
+
+def merge_counts(merge_log: DataFrame) -> DataFrame:
+    n = lambda d: F.count(F.when(F.col("decision") == d, 1)).alias(f"{d}_merges")
+    return merge_log.agg(n("accepted"), n("rejected"))
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``name``: 1, 2, ... in the order of a unique column. Ranges of it are counted, and each row adds
+    its place in its own range to the rows of the ranges before: no task sees all rows."""
+    placed = cut_lineage(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    counts = sorted(map(tuple, placed.groupBy("part").agg(F.count("*")).collect()))  # a number a range
+    before, at = [], 0
+    for part, n in counts:
+        before.append((part, at))
+        at += n
+    offsets = rows.sparkSession.createDataFrame(before, "part int, rows_before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return placed.withColumn("place", place).join(F.broadcast(offsets), "part").withColumn(name, F.col("place") + F.col("rows_before")).drop("part", "place", "rows_before")
+
+
+def cluster_rows(memberships: DataFrame, records: DataFrame, truth: DataFrame, prefix: str = "entity") -> DataFrame:
     """entity_id by the order of smallest members, size, sources, confidence, most frequent gold
     entity (ties: the smaller id)."""
-    from pyspark.sql.window import Window
-
     m = memberships.join(records.select("uid", "source_id"), "uid").join(truth.select("uid", "gold_entity"), "uid", "left")
     sizes = m.groupBy("cluster_root").agg(F.min("uid").alias("first_uid"), F.count("*").alias("size"), F.countDistinct("source_id").alias("sources"))
     modes = m.filter("gold_entity is not null").groupBy("cluster_root", "gold_entity").agg(F.count("*").alias("n")).groupBy("cluster_root").agg(F.min_by("gold_entity", F.struct((-F.col("n")).alias("x"), "gold_entity")).alias("primary_truth"))
-    numbered = sizes.withColumn("entity_id", F.concat(F.lit("entity_"), F.lpad(F.row_number().over(Window.orderBy("first_uid")).cast("string"), 6, "0")))
+    named = numbered(sizes, "first_uid", "at").withColumn("entity_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("at").cast("string"), 6, "0"))).drop("at")
     confidence = F.least(F.lit(1.0), 0.45 + 0.1 * (F.col("size") - 1))
-    return numbered.join(modes, "cluster_root", "left").select("cluster_root", "entity_id", "first_uid", "size", "sources", confidence.alias("confidence"), "primary_truth")
+    return named.join(modes, "cluster_root", "left").select("cluster_root", "entity_id", "first_uid", "size", "sources", confidence.alias("confidence"), "primary_truth")
 
 
 def cluster_pair_metrics(memberships: DataFrame, truth: DataFrame) -> DataFrame:

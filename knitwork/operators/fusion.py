@@ -88,3 +88,13 @@ def fusion_accuracy(fused: DataFrame, gold: DataFrame, primary: DataFrame) -> Da
     wanted = gold.join(remap, gold["entity_id"] == remap["primary_truth"], "left").select(F.coalesce("mapped", gold["entity_id"]).alias("entity_id"), F.col("attribute"), F.col("truth"))
     hits = wanted.join(fused, KEY).agg(F.count("*").alias("evaluated"), F.coalesce(F.sum((F.lower(F.trim("truth")) == F.lower(F.trim("selected_value"))).cast("long")), F.lit(0)).alias("correct"))
     return hits.withColumn("accuracy", F.when(F.col("evaluated") > 0, F.col("correct") / F.col("evaluated")))
+
+
+def fusion_mismatches(fused: DataFrame, gold: DataFrame, primary: DataFrame) -> DataFrame:
+    """(entity_id, attribute, value, gold_value) of the looked-up gold values that differ from what was
+    fused; entities are found as in ``fusion_accuracy``."""
+    remap = primary.filter("primary_truth is not null").groupBy("primary_truth").agg(F.max("entity_id").alias("mapped"))
+    wanted = gold.join(remap, gold["entity_id"] == remap["primary_truth"], "left").select(F.coalesce("mapped", gold["entity_id"]).alias("entity_id"), "attribute", F.col("truth").alias("gold_value"))
+    met = wanted.join(fused.select(*KEY, F.col("selected_value").alias("value")), KEY)
+    same = F.coalesce(F.lower(F.trim("gold_value")) == F.lower(F.trim("value")), F.lit(False))
+    return met.filter(~same).select(*KEY, "value", "gold_value")

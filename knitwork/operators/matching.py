@@ -38,6 +38,7 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+# The ladder's limits and scores, and their order.
 def rule_score() -> Column:
     c = F.col
     mixed = c("title_token_jaccard") * 0.7 + c("spec_key_jaccard") * 0.2

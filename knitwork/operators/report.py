@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-REQUIRED = ("A0", "C-LLM", "B-All")
+from knitwork.functions.text import model_families, text
+
+# The configurations of a full release, and how they are called in reports.
+REQUIRED = ("A0", "C-LLM", "B-All", "B-S", "B-L", "B-F", "B-SL", "B-LF", "Budget-0", "Budget-5", "Budget-10", "Budget-25")
+LABELS = {"A0": "Deterministic", "C-LLM": "LLM", "B-All": "Hybrid"}
 
 
 def cluster_evidence(memberships: DataFrame, records: DataFrame, truth: DataFrame) -> DataFrame:
-    """Distinct sources, brands, screens and gold entities of each cluster, sorted."""
+    """Members, distinct sources, brands, model families, screens, resolutions and gold entities of
+    each cluster, sorted; how many gold entities."""
     m = memberships.join(records, "uid").join(truth, "uid", "left")
+    families = F.array_sort(F.array_distinct(F.flatten(F.collect_set(model_families(F.array(text(F.col("model_number"))))))))
     some = lambda c: F.array_sort(F.filter(F.collect_set(c), lambda v: v != ""))
-    return m.groupBy("cluster_root").agg(some("source_id").alias("sources"), some(F.lower("brand")).alias("brands"), some("screen").alias("screens"), some("gold_entity").alias("truths"))
+    rows = m.groupBy("cluster_root").agg(F.count("*").alias("members"), some("source_id").alias("sources"), some(F.lower("brand")).alias("brands"), families.alias("families"), some("screen").alias("screens"), some("resolution").alias("resolutions"), some("gold_entity").alias("truths"))
+    return rows.withColumn("truth_count", F.size("truths"))
 
 
 def over_merged(memberships: DataFrame, truth: DataFrame) -> DataFrame:
@@ -66,3 +73,62 @@ def missing_configurations(runs: DataFrame, required: tuple[str, ...] = REQUIRED
     """Required configurations without a run, or whose fusion metrics rest on no value."""
     have = {r.configuration for r in runs.filter("fusion_evaluated > 0").select("configuration").distinct().collect()}
     return [c for c in required if c not in have]
+
+
+def label(configuration: Column) -> Column:
+    """How a configuration is called in a report: the name itself where it has no other."""
+    table = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, configuration), F.when(configuration.startswith("A0-"), "Deterministic Scale"), configuration)
+
+
+def last_by_configuration(rows: DataFrame, order: str) -> DataFrame:
+    """One row a configuration: the last."""
+    return rows.groupBy("configuration").agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+
+
+def budget_series(summaries: DataFrame, operational: DataFrame) -> DataFrame:
+    """Quality against calls of the runs with a budget: a point each, by calls. Runs without a summary
+    or an operational row count as zero there."""
+    names = summaries.sparkSession.createDataFrame([(n,) for n in REQUIRED if n.startswith("Budget-")], "configuration string")
+    met = names.join(summaries.select("configuration", "end_to_end", "linkage_f1"), "configuration", "left").join(operational.select("configuration", "calls", "cost"), "configuration", "left")
+    return met.select("configuration", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("end_to_end", "linkage_f1", "cost")]).orderBy("calls", "configuration")
+
+
+def uncovered(summaries: DataFrame) -> DataFrame:
+    """Configurations whose fusion metrics rest on no value."""
+    return summaries.filter(F.coalesce("fusion_evaluated", F.lit(0)) == 0).select("configuration")
+
+
+def preferred(row: Column, first: str, second: str) -> Column:
+    """A metric by its preferred name, else by the other."""
+    return F.coalesce(row[first], row[second])
+
+
+def confusion(metrics: DataFrame, split: str = "test") -> DataFrame:
+    """Counts of one split; zeros where it has none."""
+    cells = {"true_positive": "tp", "false_positive": "fp", "true_negative": "tn", "false_negative": "fn"}
+    return metrics.filter(F.col("split") == split).agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(n) for n, c in cells.items()])
+
+
+def claim_metrics(claims: DataFrame) -> DataFrame:
+    return claims.agg(F.count("*").alias("claim_count"), F.countDistinct("record_uid").alias("record_count_with_claims"), F.countDistinct("entity_id").alias("entity_count_with_claims"))
+
+
+def record_confidence(normalized: DataFrame) -> DataFrame:
+    """Mean confidence of each record's values; of records without any, zero."""
+    return normalized.groupBy("record_uid").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+
+
+def normalization_metrics(normalized: DataFrame) -> DataFrame:
+    return normalized.agg(F.countDistinct("record_uid").alias("record_count"), F.count("*").alias("normalized_value_count"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"))
+
+
+def dataset_summary(records: DataFrame, gold: DataFrame, attributes: int) -> DataFrame:
+    """One row: sources, records, entities, labelled records, positive pairs, mediated attributes.
+    ``gold``: entity_id, spec_id."""
+    sizes = gold.distinct().groupBy("entity_id").agg(F.count("*").alias("n"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    of_gold = sizes.agg(F.count("*").alias("entity_count"), n(F.sum("n")).alias("labeled_record_count"), n(F.sum(F.expr("n * (n - 1) div 2"))).alias("positive_pair_count"))
+    of_records = records.agg(F.countDistinct("source_id").alias("source_count"), F.count("*").alias("record_count"))
+    one = F.lit(1).alias("one")
+    return of_records.select("*", one).join(of_gold.select("*", one), "one").select("source_count", "record_count", "entity_count", "labeled_record_count", "positive_pair_count", F.lit(attributes).alias("mediated_attribute_count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knitwork.functions.values import safe_div
+from knitwork.session import cut_lineage
 
 
 def route_schema(accepted: DataFrame, margin: float = 0.08, unmapped_score: float = 0.35, listed: DataFrame | None = None) -> DataFrame:
@@ -48,15 +49,20 @@ def estimate(prompt: Column, output_tokens: int, in_price: float, out_price: flo
 
 def budget_gate(cases: DataFrame, stage_cap: int, run_cap: int, used: int = 0, cost_cap: float | None = None) -> DataFrame:
     """selected and reason, in route order within a stage and over the run. Call caps are monotone,
-    so running counts decide; a cost cap is held on the running sum of estimates."""
-    per_stage = F.row_number().over(Window.partitionBy("stage").orderBy("route_ord"))
-    within = cases.withColumn("stage_at", per_stage)
+    so running counts decide; a cost cap is held on the running sum of estimates. Each stage is capped
+    by a rank of its own; the counts of the run go over the rows that pass, whose number the stages'
+    caps bound, and the first ``run_cap`` of those settle them all."""
+    ranked = cases.withColumn("stage_at", F.row_number().over(Window.partitionBy("stage").orderBy("route_ord")))
+    over = ranked.filter(F.col("stage_at") > stage_cap).select(*cases.columns, F.lit("stage_cap").alias("why"))
+    passed = ranked.filter(F.col("stage_at") <= stage_cap)
+    head = passed.orderBy("route_ord").limit(max(run_cap - used, 0) + 1)
+    rest = passed.join(head.select("route_ord"), "route_ord", "left_anti").select(*cases.columns, F.lit("run_call_cap").alias("why"))
     running = Window.orderBy("route_ord").rowsBetween(Window.unboundedPreceding, 0)
-    passed = (F.col("stage_at") <= stage_cap).cast("int")
-    counted = within.withColumn("run_at", F.sum(passed).over(running) + used).withColumn("spent", F.sum(F.col("estimated_cost") * passed).over(running))
+    counted = head.withColumn("run_at", F.count("*").over(running) + used).withColumn("spent", F.sum("estimated_cost").over(running))
     over_cost = F.lit(False) if cost_cap is None else F.col("spent") > cost_cap
-    reason = F.when(F.col("stage_at") > stage_cap, "stage_cap").when(F.col("run_at") > run_cap, "run_call_cap").when(over_cost, "run_cost_cap")
-    return counted.select(*cases.columns, reason.isNull().alias("selected"), F.coalesce(reason, F.lit("selected")).alias("reason"))
+    why = F.when(F.col("run_at") > run_cap, "run_call_cap").when(over_cost, "run_cost_cap")
+    inside = counted.select(*cases.columns, why.alias("why")).unionByName(rest).unionByName(over)
+    return inside.select(*cases.columns, F.col("why").isNull().alias("selected"), F.coalesce("why", F.lit("selected")).alias("reason"))
 
 
 def call_provider(cases: DataFrame, provider: Callable[[str, str], str]) -> DataFrame:
@@ -76,13 +82,18 @@ def call_provider(cases: DataFrame, provider: Callable[[str, str], str]) -> Data
     return cases.select("case_id", "stage", "payload").mapInPandas(call, "case_id string, response string")
 
 
-def cached_calls(cases: DataFrame, cache: DataFrame, provider: Callable[[str, str], str]) -> DataFrame:
-    """Answers by input hash: from the cache where there, else from the provider, once per hash."""
+def cached_calls(cases: DataFrame, cache: DataFrame, provider: Callable[[str, str], str], add_to: str | None = None) -> DataFrame:
+    """Answers by input hash: from the cache where there, else from the provider, once per hash. The
+    provider's answers are written before anything else happens, so that they are paid for once,
+    and appended to the cache's folder if ``add_to`` names it."""
     keyed = cases.withColumn("input_hash", F.sha2(F.concat_ws("|", "stage", "payload"), 256))
-    hits = keyed.join(cache.select("input_hash", "response"), "input_hash").select("case_id", "input_hash", "response", F.lit("hit").alias("cache_status"))
-    misses = keyed.join(cache, "input_hash", "left_anti")
-    once = misses.groupBy("input_hash").agg(F.first("stage").alias("stage"), F.first("payload").alias("payload")).withColumnRenamed("input_hash", "case_id")
-    answers = call_provider(once, provider).withColumnRenamed("case_id", "input_hash")
+    known = cache.groupBy("input_hash").agg(F.min("response").alias("response"))
+    hits = keyed.join(known, "input_hash").select("case_id", "input_hash", "response", F.lit("hit").alias("cache_status"))
+    misses = keyed.join(known, "input_hash", "left_anti")
+    once = cut_lineage(misses.groupBy("input_hash").agg(F.first("stage").alias("stage"), F.first("payload").alias("payload")).withColumnRenamed("input_hash", "case_id"))
+    answers = cut_lineage(call_provider(once, provider).withColumnRenamed("case_id", "input_hash"))
+    if add_to is not None:
+        answers.filter("response is not null").write.mode("append").parquet(add_to)
     return hits.unionByName(misses.join(answers, "input_hash").select("case_id", "input_hash", "response", F.lit("miss").alias("cache_status")))
 
 

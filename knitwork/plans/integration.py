@@ -1,4 +1,4 @@
-"""The stages in order, as one lazily composed plan, with a checked stage cache."""
+"""The stages in order, as one lazily composed plan; a run keeps what is settled."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from knitwork.functions.values import normalize_value
 from knitwork.operators import blocking, clustering, fusion, matching, profile, schema_align
+from knitwork.plans.runs import Run
 from knitwork.session import cut_lineage
 
 Overlays = dict[str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]]
@@ -50,88 +51,91 @@ def product_records(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy(F.col("record_uid").alias("uid"), "source_id").agg(*map(first, CORE_NAMES), spec("screen_size_diagonal", "screen_size").alias("screen"), spec("supported_resolution", "recommended_resolution").alias("resolution"), F.array_union(ids, F.array_sort(F.collect_set(others))).alias("spec_keys"))
 
 
-def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None = None, config: IntegrationConfig = IntegrationConfig(), stop_after: str = "fuse", overlays: Overlays | None = None) -> dict[str, DataFrame]:
+def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None = None, config: IntegrationConfig = IntegrationConfig(), stop_after: str = "fuse", overlays: Overlays | None = None, run: Run | None = None) -> dict[str, DataFrame]:
     """Artifacts by name, up to a stage. ``gold``: uid, gold_entity. Lineage is cut where a stage's
     result feeds several later ones. ``overlays``: by artifact (mappings, predictions, fused), a
-    function that gets the artifact and all artifacts so far and gives the one to go on with."""
+    function that gets the artifact and all artifacts so far and gives the one to go on with.
+    ``run``: settled artifacts are its tables; those that an earlier attempt completed are read."""
     out: dict[str, DataFrame] = {}
 
-    def settle(name: str, df: DataFrame) -> DataFrame:
-        made = out[name] = cut_lineage(df)
+    def keep(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        out[name] = cut_lineage(make()) if run is None else run.table(name, make)
+        return out[name]
+
+    def settle(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if overlays and name in overlays:
-            out[f"deterministic_{name}"] = made
-            made = out[name] = cut_lineage(overlays[name](made, out))
-        return made
+            made = keep(f"deterministic_{name}", make)
+            return keep(name, lambda: overlays[name](made, out))
+        return keep(name, make)
 
     def done(stage: str) -> bool:
         return STAGES.index(stage) >= STAGES.index(stop_after)
 
     gold = gold if gold is not None else spark.createDataFrame([], "uid string, gold_entity string")
-    values = out["values"] = cut_lineage(profile.explode_payload(records))
+    values = keep("values", lambda: profile.explode_payload(records))
     counts = records.groupBy("source_id").agg(F.count("*").alias("records"))
     placed = values.withColumn("ord", F.struct("record_uid", "attr_ord"))
-    out["profiles"] = cut_lineage(profile.attribute_profiles(placed.select("source_id", "attribute", "ord", "value"), counts))
+    keep("profiles", lambda: profile.attribute_profiles(placed.select("source_id", "attribute", "ord", "value"), counts))
     if done("profile"):
         return out
     schema = schema_align.mediated_schema(spark, config.attributes)
     out["mapping_candidates"] = schema_align.rank_candidates(schema_align.score_candidates(out["profiles"], schema, config.schema), config.schema)
-    settle("mappings", schema_align.accept_mappings(out["mapping_candidates"], config.schema))
+    settle("mappings", lambda: schema_align.accept_mappings(out["mapping_candidates"], config.schema))
     if done("schema"):
         return out
-    out["normalized"] = cut_lineage(normalize_records(values, out["mappings"]))
-    products = out["products"] = cut_lineage(product_records(out["normalized"]))
+    keep("normalized", lambda: normalize_records(values, out["mappings"]))
+    products = keep("products", lambda: product_records(out["normalized"]))
     if done("normalize"):
         return out
-    keys = blocking.blocking_keys(products, config.blocking)
-    out["pairs"] = cut_lineage(blocking.candidate_pairs(keys, config.blocking))
+    keep("pairs", lambda: blocking.candidate_pairs(blocking.blocking_keys(products, config.blocking), config.blocking))
     if done("block"):
         return out
     features = matching.pair_features(out["pairs"], products)
     split = products.select("uid").join(gold, "uid", "left").select("uid", "gold_entity", matching.split_of(F.col("gold_entity"), F.col("uid")).alias("split"))
     side = lambda p: split.select(F.col("uid").alias(f"{p}_uid"), F.col("gold_entity").alias(f"{p}_gold"), F.col("split").alias(f"{p}_split"))
     labelled = features.join(side("left"), "left_uid").join(side("right"), "right_uid").withColumn("label", matching.pair_label(F.col("left_gold"), F.col("right_gold"))).withColumn("split", matching.pair_split(F.col("left_split"), F.col("right_split")))
-    scored = matching.match_model(cut_lineage(labelled))
-    threshold = matching.calibrate(scored, config.default_threshold).first().threshold
-    settle("predictions", scored.withColumn("threshold", F.lit(threshold)).withColumn("prediction", (F.col("match_probability") >= threshold).cast("int")))
+
+    def predict() -> DataFrame:
+        scored = matching.match_model(cut_lineage(labelled))
+        threshold = matching.calibrate(scored, config.default_threshold).first().threshold
+        return scored.withColumn("threshold", F.lit(threshold)).withColumn("prediction", (F.col("match_probability") >= threshold).cast("int"))
+
+    settle("predictions", predict)
     if done("match"):
         return out
     edges = out["predictions"].filter("prediction = 1")
-    members, out["merge_log"] = clustering.constrained_clusters(products, edges, config.clustering)
-    out["clusters"] = cut_lineage(clustering.cluster_rows(members, products, gold))
-    out["memberships"] = cut_lineage(members.join(out["clusters"].select("cluster_root", "entity_id"), "cluster_root"))
+    # the greedy merge starts from edges that are also good enough for the component level
+    strong = edges.filter(F.col("match_probability") >= config.clustering.component_probability)
+    merged: list[DataFrame] = []
+
+    def members() -> DataFrame:
+        if not merged:
+            merged.extend(clustering.constrained_clusters(products, strong, config.clustering))
+        return merged[0]
+
+    constrained = keep("members", members)
+    keep("merge_log", lambda: (members(), merged[1])[1])
+    keep("clusters", lambda: clustering.cluster_rows(constrained, products, gold))
+    keep("memberships", lambda: constrained.join(out["clusters"].select("cluster_root", "entity_id"), "cluster_root"))
+    components = keep("component_members", lambda: clustering.component_members(products, edges, config.clustering))
+    keep("component_clusters", lambda: clustering.cluster_rows(components, products, gold, prefix="cc"))
+    level = lambda name, m: clustering.cluster_pair_metrics(m, gold).withColumn("level", F.lit(name))
+    out["cluster_metrics"] = level("constrained", constrained).unionByName(level("components", components))
     if done("cluster"):
         return out
     n = out["normalized"]
     claims = n.select("record_uid", F.col("target").alias("attribute"), F.col("canonical.value").alias("value"), F.col("canonical.unit").alias("unit"), F.col("canonical.confidence").alias("confidence"), F.struct("record_uid", "attr_ord").cast("string").alias("ord"))
-    out["claims"] = cut_lineage(fusion.extract_claims(claims, out["memberships"]))
+    keep("claims", lambda: fusion.extract_claims(claims, out["memberships"]))
     if done("claims"):
         return out
-    settle("fused", fusion.fuse(out["claims"]))
+    settle("fused", lambda: fusion.fuse(out["claims"]))
     out["entities"] = fusion.integrated_entities(out["fused"], out["clusters"])
     return out
 
 
-class StageCache:
-    """Parquet per stage under a folder named by the digest of the configuration and input; a table
-    is only reused where its marker says it was written whole."""
-
-    def __init__(self, spark: SparkSession, root: str, *digests: str):
-        self.spark, self.root = spark, f"{root.rstrip('/')}/{hashlib.sha256('|'.join(digests).encode()).hexdigest()[:16]}"
-
-    def get(self, name: str, make) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        path = f"{self.root}/{name}"
-        try:
-            self.spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
-        except AnalysisException:
-            make().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-
 def row_digest(df: DataFrame) -> str:
     """An order-free checksum of a table."""
     return str(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first()).replace(" ", "")
 
 
-__all__ = ["IntegrationConfig", "StageCache", "integrate", "normalize_records", "product_records", "row_digest"]
+__all__ = ["IntegrationConfig", "integrate", "normalize_records", "product_records", "row_digest"]

@@ -19,7 +19,9 @@ def records(spark):
 
 def test_assist_keeps_what_fails(spark, records):
     out = assisted_run(spark, records, assistance=Assistance(cases_per_stage=5), provider=lambda stage, payload: "no json")
-    routes = out["routes"].collect()
+    every = out["routes"].collect()
+    routes = [r for r in every if r.selected]
+    assert all(r.fallback_reason == "stage_case_limit" and r.call_count_charge == 0 for r in every if not r.selected)
     assert routes and all(not r.accepted and r.fallback_reason == "invalid_output" and r.before == r.after for r in routes)
     before = sorted(map(tuple, out["deterministic_mappings"].select("source_attribute_id", "target").collect()))
     assert before == sorted(map(tuple, out["mappings"].select("source_attribute_id", "target").collect()))
@@ -30,6 +32,13 @@ def test_assist_keeps_what_fails(spark, records):
 def test_primary_defaults_are_conservative(spark, records):
     out = assisted_run(spark, records, assistance=Assistance(mode="primary", stages=("linkage",), primary_pairs=3))
     kept = out["predictions"].filter("prediction = 1").count()
-    assert kept <= 3 and out["routes"].count() == 3
+    rows = out["routes"].collect()
+    called = [r for r in rows if r.selected]
+    assert kept <= 3 and len(called) == 3
+    # one batch: one call, charged to its first case
+    assert sum(r.call_count_charge for r in called) == 1 and sum(r.cost > 0 for r in called) == 1
+    (total,) = [r for r in rows if r.summary]
+    assert total.case_id == "__primary_summary__" and total.eligible_count == out["deterministic_predictions"].count() == 3 + total.unselected_default_count
+    assert all(r.defaulted for r in rows if not r.selected and not r.summary)
     assert out["predictions"].count() == out["deterministic_predictions"].count()
     assert out["entities"].count() == out["clusters"].count()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from knitwork.operators import fusion, matching, routing, schema_align
 from knitwork.operators.clustering import Cluster, ClusterConfig, conflict, constrained_clusters
 from knitwork.operators.components import connected_components
-from knitwork.plans.integration import StageCache, integrate
+from knitwork.plans.integration import integrate
+from knitwork.plans.runs import open_run
 from knitwork.sources.readers import Source, ingest, read_entity_gold, read_mapping_gold, read_or_none, write_checked
 from knitwork.streaming.progress import follow_progress
 
@@ -123,16 +124,27 @@ def test_whole_run_and_stage_cache(spark, tmp_path):
     assert all(set(r.supporting_claim_ids) <= claims for r in out["fused"].collect())
     assert out["entities"].count() == out["clusters"].count()
     assert set(integrate(spark, records, gold, stop_after="schema")) == {"values", "profiles", "mapping_candidates", "mappings"}
-    cache, made = StageCache(spark, f"{tmp_path}/cache", "a", "b"), []
+    metrics = {r.level: r for r in out["cluster_metrics"].collect()}
+    assert set(metrics) == {"constrained", "components"} and all(0 <= r.f1 <= 1 for r in metrics.values())
+    assert sorted(r.uid for r in out["component_members"].collect()) == sorted(r[0] for r in rows)
+    run, made = open_run(spark, f"{tmp_path}/run", "r1", {"config": "a", "dataset": "b"}), []
     for _ in range(2):
-        assert cache.get("clusters", lambda: made.append(1) or out["clusters"]).count() == out["clusters"].count()
+        assert run.table("clusters", lambda: made.append(1) or out["clusters"]).count() == out["clusters"].count()
     assert made == [1]
+    again = open_run(spark, f"{tmp_path}/run", "r1", {"config": "a", "dataset": "b"}, resume=True)
+    assert again.complete("clusters") and not again.complete("fused")
+    for wrong in (("r2", {"config": "a"}), ("r1", {"config": "other"})):
+        with pytest.raises(ValueError):
+            open_run(spark, f"{tmp_path}/run", *wrong, resume=True)
 
 
 def test_progress_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text('{"case_id": "a"}\n{"case_id": "a"}\n{"case_id": "b"}\n')
     follow_progress(spark, f"{tmp_path}/in", "case_id string", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    # the same case in a later batch is not written again
+    (tmp_path / "in" / "2.json").write_text('{"case_id": "b"}\n')
+    follow_progress(spark, f"{tmp_path}/in", "case_id string", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     done = spark.read.parquet(f"{tmp_path}/out").select("case_id")
     assert sorted(r.case_id for r in done.collect()) == ["a", "b"]
     cases = spark.createDataFrame([("a",), ("b",), ("c",)], "case_id string")
