@@ -58,7 +58,7 @@ def schema_case(wrong: DataFrame, values: DataFrame) -> DataFrame:
     """The first wrongly mapped attribute with examples of its values. ``wrong``: source_attribute_id,
     source_id, attribute, target, score, gold_target."""
     first = wrong.orderBy("source_attribute_id").limit(1).withColumn("case_id", F.concat(F.lit("schema_"), "source_attribute_id"))
-    shown = attribute_examples(first, values).groupBy("source_id", "attribute").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_uid", "source_id", "attribute", "value"))), F.to_json).alias("source_records"))
+    shown = attribute_examples(first, values).groupBy("source_id", "attribute").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_uid", "source_id", "attribute", "value"))), lambda x: F.to_json(x)).alias("source_records"))
     out = first.join(shown, ["source_id", "attribute"], "left").withColumn("source_records", F.coalesce("source_records", F.array().cast("array<string>")))
     return out.select(*_case("schema_alignment", ["source_attribute_id", "target", "score"], ["gold_target"]))
 

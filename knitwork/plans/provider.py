@@ -154,8 +154,9 @@ def gate(cases: DataFrame, budget: Budget, used: Used = Used()) -> DataFrame:
         inside = ranked.filter(fits).select(*cases.columns, F.lit(None).cast("string").alias("reason"))
     else:
         running = Window.orderBy("route_ord").rowsBetween(Window.unboundedPreceding, 0)
-        # beyond this many a run-wide cap is reached in any case
-        most = min([MOST_GATED, *[x + 1 for x in (budget.run_calls, budget.daily_calls) if x is not None]])
+        # beyond this many the first of the run-wide caps is reached in any case
+        room = [max(x - n, 0) + 1 for x, n in ((budget.run_calls, used.run_calls), (budget.daily_calls, used.run_calls + used.daily_calls)) if x is not None]
+        most = min(MOST_GATED, room[0]) if room else MOST_GATED
         kept = ranked.filter(fits)
         head = kept.orderBy("route_ord").limit(most)
         counted = head.withColumn("at", F.count("*").over(running)).withColumn("spent", F.sum("estimated_cost").over(running))

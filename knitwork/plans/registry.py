@@ -34,10 +34,17 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
+def _load() -> None:
+    """The modules that register the rest."""
+    from knitwork.plans import registry_release  # noqa: F401
+
+
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
 
 
@@ -699,7 +706,10 @@ def error_cases(spark, sf_dir):
     return report.first_cases(rows, 3, F.col("case_id"))
 
 
-@query("mediated_coverage", "select cast(4 as bigint) as mediated_coverage")
+@query("mediated_coverage", f"""with {VALUES}, f as (select lower(attribute) as a, string_agg(value, ' ' order by ord, value) as j from (select *, row_number() over (partition by attribute order by ord, value) as k from v) where k <= 50 and attribute <> 'size' group by 1),
+r as (select a, unnest([case when contains(a, 'title') or a in ('name', 'product name') then 'title' end, case when regexp_matches(a, 'brand|manufacturer|maker') then 'brand' end, case when contains(a, 'model') or regexp_matches(j, '(?i)\\b[A-Z]{{1,5}}[- ]?[0-9]{{2,5}}[A-Z0-9-]*\\b') then 'model identifier' end,
+  case when contains(a, 'price') or regexp_matches(j, '(?i)([$€£]|usd|eur|gbp)\\b') then 'price' end, case when contains(a, 'currency') then 'currency' end, case when regexp_matches(a, 'description|features') then 'description' end, case when regexp_matches(a, 'category|type') then 'category' end]) as role from f)
+select count(distinct role) as mediated_coverage from r""")
 def mediated_coverage(spark, sf_dir):
     return report.mediated_coverage(profiles(spark, sf_dir).filter("attribute <> 'size'"))
 
