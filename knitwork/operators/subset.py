@@ -31,7 +31,7 @@ def materialize(out: str, chosen: DataFrame, gold: DataFrame, records: DataFrame
     raw_payload. Sources without a chosen record don't appear; mapping gold keeps the sources that do,
     fusion gold the chosen entities. Everything is a semi-join; nothing passes through the driver."""
     specs = restrict(gold, chosen, "entity_id")
-    parts = F.split("spec_id", "//", 2)
+    parts = [F.get(F.split("spec_id", "//", 2), F.lit(k)) for k in (0, 1)]
     ids = specs.filter(F.col("spec_id").contains("//")).select(parts[0].alias("source_id"), parts[1].alias("source_record_id")).distinct()
     kept = records.join(ids, ["source_id", "source_record_id"], "left_semi")
     kept.select("source_id", "source_record_id", F.col("raw_payload").alias("payload")).write.mode("overwrite").partitionBy("source_id").json(f"{out}/records")

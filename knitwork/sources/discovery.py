@@ -53,7 +53,7 @@ def discover_verticals(spark: SparkSession, roots: dict[str, str]) -> dict[str,
 def payloads_of(specs: DataFrame, files: DataFrame, spark: SparkSession) -> DataFrame:
     """spec_id and payload of ``source//record`` ids: only the files asked for are opened. Ids without
     a file, and files that aren't JSON objects, give no row."""
-    parts = F.split("spec_id", "//", 2)
+    parts = [F.get(F.split("spec_id", "//", 2), F.lit(k)) for k in (0, 1)]
     asked = specs.select("spec_id", parts[0].alias("source_id"), parts[1].alias("record_id")).distinct()
     wanted = asked.join(files, ["source_id", "record_id"]).select("spec_id", "path")
     paths = [r.path for r in wanted.select("path").distinct().collect()]  # as many as the report shows
