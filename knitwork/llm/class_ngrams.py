@@ -2,13 +2,17 @@
 
 log P(text) = sum over tokens of log P(class | previous class) + log P(word | class).
 
-Words are clustered as *items*: the ``top_items`` most frequent words stand for themselves, all other
-words fall into ``groups`` by their ending, so that an unseen word has a class too. Exchange moves
-one item at a time to the class that most raises the likelihood of all training bigrams; it runs on
-the item-by-item table of counts, whose size is a parameter and doesn't grow with the corpus.
-Everything the table is summed from does: the counts of all words and all bigrams of every training
-text. The vocabulary itself stays distributed. A scored text asks for the counts of its rare words
-by a join on the word; only the counts of the most frequent words travel to the workers.
+Exchange moves one word at a time to the class that most raises the likelihood of all training
+bigrams. It runs in two steps. First over *items*: the ``top_items`` most frequent words, and all other
+words in ``groups`` by their ending, on the item-by-item table of counts, with as many sweeps as it
+takes. Then every other word of the table of frequent words, up to ``table`` of them, is exchanged
+out of its group's class on its own: its neighbours are counted by class over all training texts, and
+the step that finds its class is spread over the words. Words beyond the table, and unseen ones, keep
+their group's class. Class bigrams are then counted once more, with the classes as they ended up.
+
+Everything is counted over every training text. The vocabulary itself stays distributed: a scored text
+asks for the counts of its rare words by a join on the word; only the counts and classes of the table's
+words travel to the workers.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.llm.common import held_out, scratch_path, whole_text, words_of
+from knitwork.llm.common import cut_lineage, give_back, held_out, scratch_path, whole_text, words_of
 from knitwork.llm.tokens import BoundedCache
 
 FOLDS, TEST_FOLD = 7, 2
@@ -31,7 +35,8 @@ FOLDS, TEST_FOLD = 7, 2
 @dataclass(frozen=True)
 class Shape:
     """table: most frequent words whose counts the workers hold (of at most ``table_bytes`` bytes
-    each); top_items + groups + 1 items are clustered into classes + 1, the last for the end."""
+    each); top_items + groups + 1 items are clustered together into classes + 1, the last for the
+    end, the table's other words one by one."""
 
     table: int = 65_536
     table_bytes: int = 48
@@ -123,6 +128,24 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def take_out(pairs: np.ndarray, c: int, out: np.ndarray, into: np.ndarray, self_: float) -> np.ndarray:
+    """Takes a word out of class c of ``pairs``, and what each class would gain by it. out and into: its
+    neighbours after and before it by class, with the word itself; it is taken out of them too."""
+    out[c] -= self_
+    into[c] -= self_
+    pairs[c] -= out
+    pairs[:, c] -= into
+    pairs[c, c] -= self_
+    # the word's neighbours keep their own class wherever it goes
+    left, right = pairs.sum(axis=1) + into, pairs.sum(axis=0) + out
+    gain = (_xlogx(pairs + out) - _xlogx(pairs)).sum(axis=1) + (_xlogx(pairs + into[:, None]) - _xlogx(pairs)).sum(axis=0)
+    d = np.diag(pairs)
+    # on the diagonal both sums and the word's own pairs meet in one cell
+    gain += _xlogx(d + out + into + self_) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
+    to, fro = out.sum() + self_, into.sum() + self_
+    return gain - (_xlogx(left + to) - _xlogx(left) + _xlogx(right + fro) - _xlogx(right))
+
+
 def exchange(table: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Class of each item. The last item (the end) keeps a class of its own. Items start dealt out by
     frequency; each sweep takes every item out of its class and puts it where the bigram
@@ -145,19 +168,7 @@ def exchange(table: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             into = np.bincount(own, table[:, w], k)
             self_ = table[w, w]
             c = own[w]
-            out[c] -= self_
-            into[c] -= self_
-            pairs[c] -= out
-            pairs[:, c] -= into
-            pairs[c, c] -= self_
-            # the item's neighbours keep their own class wherever it goes
-            left, right = pairs.sum(axis=1) + into, pairs.sum(axis=0) + out
-            gain = (_xlogx(pairs + out) - _xlogx(pairs)).sum(axis=1) + (_xlogx(pairs + into[:, None]) - _xlogx(pairs)).sum(axis=0)
-            d = np.diag(pairs)
-            # on the diagonal both sums and the item's own pairs meet in one cell
-            gain += _xlogx(d + out + into + self_) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
-            to, fro = out.sum() + self_, into.sum() + self_
-            gain -= _xlogx(left + to) - _xlogx(left) + _xlogx(right + fro) - _xlogx(right)
+            gain = take_out(pairs, c, out, into, self_)
             best = int(np.argmax(gain[:classes]))
             moved += best != c
             own[w] = best
@@ -171,9 +182,11 @@ def exchange(table: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 @dataclass
 class ClassModel:
+    """classes: of each word of the table, then of each group."""
+
     words: list[bytes]
     counts: np.ndarray
-    own: np.ndarray
+    classes: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
     n: int
@@ -181,18 +194,90 @@ class ClassModel:
     n_end: int
 
 
-def build_model(top: list[tuple[bytes, int]], table: np.ndarray, distinct: np.ndarray, n: int, v: int, n_end: int, shape: Shape) -> ClassModel:
-    """distinct: known words of each item. Transitions are interpolated with class frequencies;
-    each class keeps one count's share for words unseen in training, so emissions sum to one."""
-    own = exchange(table.astype(float), shape.classes, shape.sweeps)
+def count_neighbours(texts: DataFrame, sent, classes: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, at, n) of the table's words from ``top_items`` on: at < k the class after it, then k + the
+    class before it, then 2 k: itself right after itself."""
     k = shape.classes + 1
-    one = np.eye(k)[own]
-    pairs = one.T @ table @ one
+
+    def counts(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index, top, width = Index(sent.value, shape), shape.top_items, 2 * k + 1
+        table = np.zeros((index.size - top) * width, np.int32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = index(words_of(text))
+                own = np.full(len(at) + 2, k - 1, np.int64)
+                own[1:-1] = classes[at]
+                rare = np.flatnonzero((at >= top) & (at < index.size))
+                if len(rare):
+                    base = (at[rare] - top) * width
+                    np.add.at(table, base + own[rare + 2], 1)
+                    np.add.at(table, base + k + own[rare], 1)
+                    twice = rare[:-1][(rare[1:] == rare[:-1] + 1) & (at[rare[1:]] == at[rare[:-1]])]
+                    np.add.at(table, (at[twice] - top) * width + 2 * k, 1)
+        found = np.flatnonzero(table)
+        for a in range(0, len(found), 50_000):
+            part = found[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part // width + top), pa.array(part % width), pa.array(table[part].astype(np.int64))], ["word", "at", "n"])
+        del table
+        give_back()
+
+    return texts.mapInArrow(counts, "word long, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
+
+
+def exchange_each(neighbours: DataFrame, pairs: np.ndarray, classes: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, class): where each word goes when it alone is moved. A word has at most 2 k + 1 rows."""
+    k = shape.classes + 1
+
+    def best(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for word, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = np.zeros(2 * k + 1)
+                for cell in cells:
+                    row[cell["at"]] = cell["n"]
+                gain = take_out(pairs.copy(), int(classes[word]), row[:k].copy(), row[k : 2 * k].copy(), row[2 * k])
+                found.append(int(np.argmax(gain[: k - 1])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["word", "class"])
+
+    gathered = neighbours.groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("cells"))
+    return gathered.mapInArrow(best, "word long, class long")
+
+
+def count_class_pairs(texts: DataFrame, sent, classes: np.ndarray, shape: Shape) -> np.ndarray:
+    k = shape.classes + 1
+
+    def counts(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index, table = Index(sent.value, shape), np.zeros(k * k, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = index(words_of(text))
+                own = np.full(len(at) + 2, k - 1, np.int64)
+                own[1:-1] = classes[at]
+                table += np.bincount(own[:-1] * k + own[1:], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(table)], ["code", "n"])
+        give_back()
+
+    out = np.zeros(k * k)
+    for r in texts.mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # k x k rows
+        out[r.code] = r.n
+    return out.reshape(k, k)
+
+
+def model_of(top: list[tuple[bytes, int]], classes: np.ndarray, pairs: np.ndarray, distinct: np.ndarray, n: int, v: int, n_end: int) -> ClassModel:
+    """distinct: known words of each class. Transitions are interpolated with class frequencies; each
+    class keeps one count's share for words unseen in training, so emissions sum to one."""
+    k = len(pairs)
     into = pairs.sum(axis=0)
     prior = (into + 1) / (into.sum() + k)
     transition = np.log10((pairs + k * prior) / (pairs.sum(axis=1, keepdims=True) + k))
-    emission = np.log10(into + np.bincount(own, distinct, k) + 1)
-    return ClassModel([w for w, _ in top], np.log10(np.array([c for _, c in top], float) + 1), own, transition, emission, n, v, n_end)
+    emission = np.log10(into + distinct + 1)
+    return ClassModel([w for w, _ in top], np.log10(np.array([c for _, c in top], float) + 1), classes, transition, emission, n, v, n_end)
 
 
 def most_frequent(vocabulary: DataFrame, shape: Shape) -> list[tuple[bytes, int]]:
@@ -220,21 +305,31 @@ def train(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> tuple[Cl
     n_end = texts.count()
     top = most_frequent(vocabulary, shape)
     sent = spark.sparkContext.broadcast([w for w, _ in top])
-    m, end = shape.items, shape.items - 1
+    m = shape.items
     table = np.zeros(m * m, np.int64)
     for r in count_bigrams(texts, sent, shape).collect():  # at most items x items rows
         table[r.code] = r.n
+    own = exchange(table.reshape(m, m).astype(float), shape.classes, shape.sweeps)
+    index = Index(sent.value, shape)
+    classes = own[index.items]
+    k, one = shape.classes + 1, np.eye(shape.classes + 1)[own]
+    pairs = one.T @ table.reshape(m, m) @ one
+    group_classes = classes[index.size :].copy()
+    if index.size > shape.top_items:
+        neighbours = cut_lineage(count_neighbours(texts, sent, classes, shape))
+        moved = exchange_each(neighbours, pairs, classes, shape).toArrow()  # a row for each word of the table
+        classes[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
+        pairs = count_class_pairs(texts, sent, classes, shape)
     group = F.pmod(F.crc32(F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")), F.lit(shape.groups))
     rows = vocabulary.groupBy(group.alias("g")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
-    distinct = np.zeros(m)
+    known = np.zeros(shape.groups)
     for r in rows:
-        distinct[shape.top_items + r.g] = r.v
-    for w, _ in top[: shape.top_items]:
-        distinct[shape.top_items + zlib.crc32(w[-3:]) % shape.groups] -= 1
-    distinct[: min(len(top), shape.top_items)] = 1
-    distinct[end] = 0
+        known[r.g] = r.v
+    for w, _ in top:  # the table's words have classes of their own
+        known[zlib.crc32(w[-3:]) % shape.groups] -= 1
+    distinct = np.bincount(group_classes, known, k) + np.bincount(classes[: index.size], minlength=k)
     n, v = sum(r.n for r in rows) + n_end, sum(r.v for r in rows) + (n_end > 0)
-    return build_model(top, table.reshape(m, m), distinct, n, v, n_end, shape), vocabulary
+    return model_of(top, classes, pairs, distinct, n, v, n_end), vocabulary
 
 
 def score_texts(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, shape: Shape, id_col: str, text_col: str) -> DataFrame:
@@ -248,7 +343,7 @@ def score_texts(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, shape
         own = sent.value
         index = Index(own.words, shape)
         counts = np.r_[own.counts, np.zeros(shape.groups)]
-        classes, end = own.own[index.items], shape.classes
+        classes, end = own.classes, shape.classes
         base, serial = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             found: list[tuple] = []

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from knitwork.llm.class_ngrams import Shape, exchange, perplexity, score_documents
 
@@ -64,7 +65,8 @@ def test_table(spark):
         assert r.perplexity < r.base_perplexity
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("shape", [SMALL, Shape(table=50, top_items=3, groups=5, classes=3, sweeps=5)])
+def test_probabilities_sum_to_one(spark, shape):
     """All continuations of a text, by known words, an unseen word of each ending, and the end."""
     rows = [(i, t) for i, t in enumerate(["a b a b c", "b a b", "c a d", "d d a", "a", "b c", "e", "f a b"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -72,9 +74,9 @@ def test_probabilities_sum_to_one(spark):
     known = sorted({w for t in inside for w in t.split()})
     from knitwork.llm.class_ngrams import score_texts, train
 
-    model, vocabulary = train(df, SMALL, "doc_id", "text")
+    model, vocabulary = train(df, shape, "doc_id", "text")
     # each class has one share for unseen words: sum over classes of transition x (known + one share)
-    own = dict(zip([w.decode() for w in model.words], model.own[: len(model.words)]))
+    own = dict(zip([w.decode() for w in model.words], model.classes[: len(model.words)], strict=True))
     k = len(model.transition)
     for before in range(k):
         total = 0.0
@@ -84,7 +86,7 @@ def test_probabilities_sum_to_one(spark):
         total += 10 ** model.transition[before, k - 1]
         assert math.isclose(total, 1, rel_tol=1e-9)
     assert set(own) == set(known)
-    assert score_texts(df, model, vocabulary, SMALL, "doc_id", "text").count() == len(rows)
+    assert score_texts(df, model, vocabulary, shape, "doc_id", "text").count() == len(rows)
 
 
 def likelihood(table, own):
@@ -105,3 +107,21 @@ def test_exchange_is_a_local_optimum():
             other = own.copy()
             other[w] = c
             assert likelihood(table, other) <= best + 1e-9
+
+
+def test_words_beyond_the_items_are_exchanged_too(spark):
+    """Two kinds of words that take turns, and endings that say nothing: every word finds its kind."""
+    import random
+
+    r = random.Random(4)
+    kinds = [[f"a{r.randrange(10**6):06d}x" for _ in range(60)], [f"b{r.randrange(10**6):06d}x" for _ in range(60)]]
+    texts = [" ".join(r.choice(kinds[i % 2]) for i in range(200)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from knitwork.llm.class_ngrams import train
+
+    shape = Shape(table=200, top_items=40, groups=8, classes=2, sweeps=10)
+    model, _ = train(df, shape, "doc_id", "text")
+    of = [{int(c) for w, c in zip(model.words, model.classes, strict=False) if w[:1] == k} for k in (b"a", b"b")]
+    assert len(of[0]) == len(of[1]) == 1 and of[0] != of[1]
+    better = score_documents(df, shape).agg({"score": "sum"}).first()[0]
+    assert better > score_documents(df, Shape(table=40, top_items=40, groups=8, classes=2, sweeps=10)).agg({"score": "sum"}).first()[0]
