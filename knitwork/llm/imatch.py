@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: common words say
 nothing, rare ones are often slips. A document's distinct lexicon terms are sorted, and for each of
-``subsets`` random sub-lexicons the terms in it are hashed together. An edit changes the hashes of
+``subsets`` random sub-lexicons those of them that are in it are hashed together, in that order. An edit changes the hashes of
 those sub-lexicons that contain a changed term and no others, so the share of equal hashes tells how
 alike two documents are.
 
@@ -56,21 +56,26 @@ class Fingerprinter:
         self._hash = BoundedCache(lambda w: xxh64_intdigest(w, SEED), 250_000)
         self._seeds = _mix(np.arange(1, band.subsets + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def _level(self, terms: np.ndarray, level: int, draws: np.ndarray, digests: np.ndarray) -> np.ndarray:
-        inside = draws >> np.uint64(64 - level) == 0 if level else np.ones(draws.shape, bool)
-        sums = np.where(inside, digests[:, None], np.uint64(0)).sum(axis=0, dtype=np.uint64)
-        short = (_mix(sums) >> np.uint64(48)).astype(np.uint16)
-        return np.where(inside.any(axis=0), np.maximum(short, 1), 0).astype("<u2")
+    def _level(self, sorted_terms: np.ndarray, level: int, draws: np.ndarray) -> np.ndarray:
+        """Per sub-lexicon the XXH64 of its terms, in order, cut to 32 bits; zero: none is in it."""
+        inside = (draws >> np.uint64(64 - level) == 0) if level else np.ones(draws.shape, bool)
+        subset, term = np.nonzero(inside.T)
+        ends = np.cumsum(np.bincount(subset, minlength=self.band.subsets)) * 8
+        joined, out, begin = sorted_terms[term].tobytes(), [], 0
+        for end in ends.tolist():
+            out.append(max(xxh64_intdigest(joined[begin:end], SEED) >> 32, 1) if end > begin else 0)
+            begin = end
+        return np.array(out, "<u4")
 
     def _parts(self, mark: str, terms: np.ndarray) -> list[tuple[str, bytes]]:
         if not len(terms):
             return []
-        draws, digests = _mix(terms[:, None] ^ self._seeds[None, :]), _mix(terms + np.uint64(SEED))
+        draws = _mix(terms[:, None] ^ self._seeds[None, :])
         level = int(math.log2(len(terms) / 0.75))
-        return [(f"{mark}{k}", self._level(terms, k, draws, digests).tobytes()) for k in range(level, level + 3)]
+        return [(f"{mark}{k}", self._level(terms, k, draws).tobytes()) for k in range(level, level + 3)]
 
     def __call__(self, text: str) -> dict[str, bytes]:
-        """Level name to one 16-bit hash per sub-lexicon; zero: the document has no term in it."""
+        """Level name to one 32-bit hash per sub-lexicon; zero: the document has no term in it."""
         words = set(words_of(text))
         terms = np.unique(np.fromiter(map(self._hash.__getitem__, words), np.uint64, len(words)))
         at = np.minimum(np.searchsorted(self.lexicon, terms), max(len(self.lexicon) - 1, 0))
@@ -91,7 +96,7 @@ def likeness(a: dict[str, bytes], b: dict[str, bytes]) -> float:
     for mark in "iw":
         shared = [k for k in a if k[0] == mark and k in b]
         if shared:
-            x, y = (np.concatenate([np.frombuffer(p[k], "<u2") for k in shared]) for p in (a, b))
+            x, y = (np.concatenate([np.frombuffer(p[k], "<u4") for k in shared]) for p in (a, b))
             used = (x != 0) | (y != 0)
             if used.any():
                 return float((x == y)[used].mean())
