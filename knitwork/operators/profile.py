@@ -31,7 +31,9 @@ def explode_payload(records: DataFrame) -> DataFrame:
 
 def attribute_profiles(values: DataFrame, record_counts: DataFrame) -> DataFrame:
     """Per (source, attribute) of (source_id, attribute, ord, value): rates, lengths, numbers, type,
-    roles, units, pattern counts, frequent and first values. Lists are top-k, never whole groups."""
+    roles, units, pattern counts, frequent and first values. Lists are top-k, never whole groups: a
+    row number with a limit on it is planned as a partial group limit, so that each task keeps the
+    first rows of its own before the shuffle, and no task sorts all values of an attribute."""
     key = ["source_id", "attribute"]
     number = as_float(F.when(F.trim("value").rlike(PLAIN_NUMBER), F.col("value")))
     ranked = values.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("ord", "value")))

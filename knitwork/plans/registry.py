@@ -633,12 +633,47 @@ def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir)
 
 
-@query("schema_candidates")
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::varchar[]"
+
+
+def _sql_names(a: str, b: str) -> str:
+    grams = lambda x: f"list_distinct({sql_qgrams(f'lower({x})')})"
+    same = f"array_to_string({sql_words(a)}, '_') = array_to_string({sql_words(b)}, '_')"
+    return f"(case when {same} then 1.0 else greatest({sql_jaccard(sql_tokens(a), sql_tokens(b))}, 0.85 * {sql_jaccard(grams(a), grams(b))}) end)"
+
+
+_TARGETS = ", ".join(f"('{n}', '{t}', {i}, {_sql_list(schema_align.SYNONYMS.get(n, ()))})" for i, (n, t) in enumerate(schema_align.CORE))
+_UNIT = "(?i)\\b(mm|cm|inch|inches|kg|g|gb|tb|hz|mp|mah|w)\\b"
+SCHEMA = f"""{VALUES}, n as (select count(*) as records from part),
+p as (select attribute, count(*) / max(records)::double as nn, count(distinct value) / count(*)::double as uq, avg(length(value)) as mean_length, bool_and(trim(value) = '' or regexp_matches(trim(value), '^-?[0-9]+([.][0-9]+)?$')) as numbers from v, n group by 1),
+f as (select attribute, string_agg(value, ' ' order by ord, value) as j from (select *, row_number() over (partition by attribute order by ord, value) as k from v) where k <= 50 group by 1),
+q as (select *, list_distinct(regexp_extract_all(j, '{_UNIT}', 1)) as units, lower(attribute) as a, case when numbers then 'number' when regexp_matches(attribute, '(?i)([$€£]|usd|eur|gbp)\\b') or regexp_matches(j, '(?i)([$€£]|usd|eur|gbp)\\b') then 'currency_or_price' when regexp_matches(j, '(?i)^https?://') then 'url' when regexp_matches(j, '{_UNIT}') then 'measurement' when mean_length > 80 then 'free_text' else 'string' end as kind from p join f using (attribute)),
+r as (select *, list_filter([case when contains(a, 'title') or a in ('name', 'product name') then 'title' end, case when regexp_matches(a, 'brand|manufacturer|maker') then 'brand' end, case when contains(a, 'model') or regexp_matches(j, '(?i)\\b[A-Z]{{1,5}}[- ]?[0-9]{{2,5}}[A-Z0-9-]*\\b') then 'model identifier' end,
+  case when contains(a, 'price') or regexp_matches(j, '(?i)([$€£]|usd|eur|gbp)\\b') then 'price' end, case when contains(a, 'currency') then 'currency' end, case when regexp_matches(a, 'description|features') then 'description' end, case when regexp_matches(a, 'category|type') then 'category' end,
+  case when regexp_matches(j, '{_UNIT}') then 'measurement' end, case when regexp_matches(j, '(?i)^https?://') then 'URL' end], lambda x: x is not null) as found from q),
+s as (select *, case when len(found) > 0 then found else ['specification'] end as roles from r),
+t(target, target_type, ord, synonyms) as (values {_TARGETS}),
+m as (select s.*, t.*, array_to_string({sql_words('attribute')}, '_') = array_to_string({sql_words('target')}, '_') as same_name from s, t),
+c as (select attribute, target, ord, same_name,
+  case when same_name then 1.0 else greatest({sql_jaccard(sql_tokens('attribute'), sql_tokens('target'))}, coalesce((select max({_sql_names('attribute', 'y.u')}) from (select unnest(synonyms) as u) y), 0)) end as score_name,
+  case when target = 'price' then case when kind in ('currency_or_price', 'number') then 1.0 else 0.2 end when target = 'currency' then case when kind = 'currency_or_price' then 1.0 else 0.3 end when target_type in ('decimal', 'number') then case when kind in ('number', 'measurement', 'currency_or_price') then 1.0 else 0.2 end
+    when target_type = 'boolean' then case when kind in ('string', 'number') then 0.9 else 0.4 end when target = 'specifications' then 0.8 when kind = 'free_text' and target in ('title', 'description') then 0.8 when kind = 'measurement' and target not in ('title', 'description') then 0.75 else 0.6 end as score_type,
+  case when target = 'title' and list_contains(roles, 'title') or target = 'brand' and list_contains(roles, 'brand') then 1.0 when target = 'model_number' and list_contains(roles, 'model identifier') or target = 'price' and (list_contains(roles, 'price') or kind = 'currency_or_price') or target = 'currency' and list_contains(roles, 'currency') then 0.95
+    when target = 'description' and list_contains(roles, 'description') or target = 'category' and list_contains(roles, 'category') then 0.9 when target = 'specifications' and (list_contains(roles, 'specification') or len(units) > 0) then 0.75 when regexp_matches(lower(target), '{V.MEASURES}') and len(units) > 0 then 0.8 else 0.35 end as score_value,
+  case when target in ('title', 'model_number') then least(1.0, uq * 0.7 + nn * 0.3) when target in ('brand', 'category', 'currency') then least(1.0, (1 - uq) * 0.5 + nn * 0.5) else nn end as score_context
+  from m where target <> 'specifications' or len(list_filter(roles, lambda x: contains(x, 'specification') or contains(x, 'measurement'))) > 0),
+e as (select attribute, target, ord, score_name * 0.45 + score_type * 0.2 + score_value * 0.25 + score_context * 0.1 as total from c union all select attribute, target, 1048576, 1.0 from m where same_name),
+k as (select *, row_number() over (partition by attribute order by round(total, 6) desc, ord) as rank from e)"""
+
+
+@query("schema_candidates", f"with {SCHEMA} select 'part//' || attribute as source_attribute_id, target, cast(rank as int) as rank, round(total, 6) as score_total from k where rank <= 8")
 def schema_candidates(spark, sf_dir):
-    return schema_align.rank_candidates(schema_align.score_candidates(part_profiles(spark, sf_dir), schema_align.mediated_schema(spark))).select("source_attribute_id", "target", "rank", "score_total")
+    return schema_align.rank_candidates(schema_align.score_candidates(part_profiles(spark, sf_dir), schema_align.mediated_schema(spark))).select("source_attribute_id", "target", "rank", F.round("score_total", 6).alias("score_total"))
 
 
-@query("schema_mappings")
+@query("schema_mappings", f"""with {SCHEMA}, b as (select attribute, max(target) filter (rank = 1) as best, max(total) filter (rank = 1) as one, coalesce(max(total) filter (rank = 2), 0) as two from k group by 1)
+select 'part//' || attribute as source_attribute_id, case when round(one, 6) >= 0.58 and round(one - two, 6) >= 0.05 then best else 'UNMAPPED' end as target from b""")
 def schema_mappings(spark, sf_dir):
     ranked = schema_align.rank_candidates(schema_align.score_candidates(part_profiles(spark, sf_dir), schema_align.mediated_schema(spark)))
     return schema_align.accept_mappings(ranked).select("source_attribute_id", "target")

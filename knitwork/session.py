@@ -25,13 +25,16 @@ def build_session(app: str = "knitwork", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is configured."""
+    """The folder shared by driver and executors. A temporary one stands in where none is configured and
+    all tasks run in this process; on a cluster that is an error, as executors couldn't see it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     current = spark.sparkContext.getCheckpointDir()
+    if current is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="knitwork-"))
         current = spark.sparkContext.getCheckpointDir()
