@@ -24,6 +24,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Proposes the longest run from each possible start; starts may lie in one another's runs.
 IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]*+))"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: A long run of letters and digits: a key or token, if what is around it says so.
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+"
 #: Characters of an IBAN by country, as registered; other codes have no fixed length.
 IBAN_LENGTHS = dict(x.split(":") for x in "NO:15 BE:16 BI:27 DK:18 FO:18 FI:18 FK:18 GL:18 NL:18 SD:18 MK:19 SI:19 AT:20 BA:20 EE:20 KZ:20 LT:20 LU:20 MN:20 XK:20 CH:21 HR:21 LI:21 LV:21 BG:22 BH:22 CR:22 DE:22 GB:22 GE:22 IE:22 ME:22 RS:22 VA:22 AE:23 GI:23 IL:23 IQ:23 OM:23 SO:23 TL:23 AD:24 CZ:24 ES:24 MD:24 PK:24 RO:24 SA:24 SE:24 SK:24 TN:24 VG:24 LY:25 PT:25 ST:25 IS:26 TR:26 DJ:27 FR:27 GR:27 IT:27 MC:27 MR:27 SM:27 AL:28 AZ:28 BY:28 CY:28 DO:28 GT:28 HN:28 HU:28 LB:28 NI:28 PL:28 SV:28 BR:29 EG:29 PS:29 QA:29 UA:29 JO:30 KW:30 MU:30 YE:30 MT:31 SC:31 LC:32 RU:33".split())
 #: Each part at most 255, leading zeros allowed.
@@ -144,6 +146,7 @@ KINDS = (
     Kind("card", CARD, luhn, True, 0.8, "", r"(?i)card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", PHONE, _digits_between(8, 15), True, 0.7, "+", r"(?i)phone|call|tel|mobile|fax"),
     Kind("iban", IBAN, mod97, False, 0.8, "", r"(?i)iban|account|konto|compte|cuenta|bank"),
+    Kind("secret", SECRET, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 8), False, 0.3, "", r"(?i)token|secret|passw|credential|\bkey\b|api[_-]?key|bearer"),
     Kind("ssn", SSN, lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), False, 0.3, "-", r"(?i)ssn|social security|tax id"),
 )
 #: Spans the method adds stay from this score on.
@@ -197,11 +200,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def personal_data_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, counts by kind, base_sha256 and spans, as the contract of its query has them, for
+    """``id_col``, counts by kind and in all, base_sha256 and spans, as the contract of its query has them, for
     every row; nulls, empty texts and tables, repeated rows and other columns as in
     ``find_personal_data``."""
     found = find_personal_data(docs, id_col, text_col)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))
     joined = lambda kinds: F.array_join(F.concat(*[F.transform(k.name, line) for k in kinds]), ",")
     counts = [F.size(k.name).cast("long").alias(f"n_{k.name}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(joined([k for k in KINDS if k.base]), 256).alias("base_sha256"), joined(KINDS).alias("spans"))
+    every = sum((F.size(k.name) for k in KINDS[1:]), F.size(KINDS[0].name)).cast("long").alias("n_spans")
+    return found.select(id_col, *counts, every, F.sha2(joined([k for k in KINDS if k.base]), 256).alias("base_sha256"), joined(KINDS).alias("spans"))

@@ -94,3 +94,11 @@ def test_many_spans(spark):
     row = personal_data_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert row.n_email == 100_000 and row.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
     assert time.time() - began < 60
+
+
+def test_secrets_need_context(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{key}" and more', f"commit {key} of the day", f"api_key: {key[:20]}", f"the secret {'a' * 40} here", f"password {key}-x_{key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data_digest(df).collect()}
+    assert [got[i].n_secret for i in range(5)] == [1, 0, 0, 0, 1] and got[0].spans == "secret:9:49" and got[0].n_spans == 1
