@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from knitwork.llm.common import give_back, held_out, whole_text
+from knitwork.llm.common import give_back, held_out, own_columns, whole_text
 from knitwork.llm.tokens import BoundedCache
 
 FOLDS, TEST_FOLD = 5, 0
@@ -280,7 +280,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), te
     rows stay or go together; an empty table gives no rows."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(train(docs, labels, limits))
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(docs))])
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -291,4 +292,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), te
             yield batch.filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return docs.mapInArrow(rows, docs.schema)
+    return plain.mapInArrow(rows, plain.schema).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
