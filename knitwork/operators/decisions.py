@@ -63,6 +63,19 @@ def stand_in(stage: str) -> Column:
     return F.to_json(F.struct(chosen.alias("selected_value"), F.when(chosen != "ABSTAIN", 0.75).otherwise(0.0).alias("confidence"), c("default_supporting").alias("supporting_claim_ids"), c("default_contradicting").alias("contradicting_claim_ids"), F.lit("first allowed value").alias("reason"), (chosen == "ABSTAIN").alias("abstain")))
 
 
+def stand_in_batches(cases: DataFrame, stage: str) -> DataFrame:
+    """(batch_id, response): the stand-in's answers to all cases of a batch as one {"decisions": [...]},
+    in the batch's order. A batch has as many cases as its size, a parameter of the run."""
+    item = F.concat(F.lit('{"case_id":"'), F.col("case_id"), F.lit('",'), F.substring(stand_in(stage), 2, 1 << 30))
+    rows = cases.select("batch_id", F.struct("batch_index", item.alias("item")).alias("x"))
+    return rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("batch_id", F.concat(F.lit('{"decisions":['), F.array_join(F.transform("xs", lambda x: x["item"]), ","), F.lit("]}")).alias("response"))
+
+
+def claim_prompt() -> Column:
+    """What a provider is told of a claim, and no more."""
+    return F.struct("claim_id", "source_id", "raw_value", F.col("value").alias("normalized_value"), "unit", F.col("confidence").alias("extraction_confidence"))
+
+
 def allowed_outputs(fused: DataFrame, claims: DataFrame) -> DataFrame:
     """Per fused row the values a decision may take: all that are known and not empty, then ABSTAIN;
     with the row's claims as structs of id, value and unit."""

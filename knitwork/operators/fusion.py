@@ -98,3 +98,16 @@ def fusion_mismatches(fused: DataFrame, gold: DataFrame, primary: DataFrame) ->
     met = wanted.join(fused.select(*KEY, F.col("selected_value").alias("value")), KEY)
     same = F.coalesce(F.lower(F.trim("gold_value")) == F.lower(F.trim("value")), F.lit(False))
     return met.filter(~same).select(*KEY, "value", "gold_value")
+
+
+def fusion_metrics(fused: DataFrame, primary: DataFrame, bootstrap: DataFrame | None = None, curated: DataFrame | None = None) -> DataFrame:
+    """A row for each gold table there is (kind: bootstrap, curated) with evaluated, correct and accuracy,
+    and one of kind primary: the curated row where such gold was given, else the bootstrap one."""
+    none = fused.sparkSession.createDataFrame([(0, 0, None)], "evaluated long, correct long, accuracy double")
+    rows = {k: (fusion_accuracy(fused, gold, primary) if gold is not None else none).withColumn("gold_available", F.lit(gold is not None)) for k, gold in (("bootstrap", bootstrap), ("curated", curated))}
+    rows["primary"] = rows["curated" if curated is not None else "bootstrap"]
+    out = None
+    for kind, row in rows.items():
+        row = row.withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out.select("kind", "gold_available", "evaluated", "correct", "accuracy")

@@ -55,7 +55,9 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
 def stage(spark: SparkSession, a: argparse.Namespace) -> None:
     """One run up to a stage; with --resume what an earlier attempt settled is read."""
     config = _config(a.config)
-    records = spark.read.parquet(f"{a.out}/records") if a.resume else _records(spark, config, a.out)
+    records = readers.read_or_none(spark, f"{a.out}/records") if a.resume else None
+    if records is None:  # nothing is ingested yet
+        records = _records(spark, config, a.out)
     settings = _settings(config)
     run = open_run(spark, f"{a.out}/run", a.run_id, {"config": settings.digest(), "dataset": row_digest(records.drop("ingested_at"))}, a.resume)
     out = integrate(spark, records, _gold(spark, config), settings, stop_after=a.upto, run=run)

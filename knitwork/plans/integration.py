@@ -51,6 +51,21 @@ def product_records(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy(F.col("record_uid").alias("uid"), "source_id").agg(*map(first, CORE_NAMES), spec("screen_size_diagonal", "screen_size").alias("screen"), spec("supported_resolution", "recommended_resolution").alias("resolution"), F.array_union(ids, F.array_sort(F.collect_set(others))).alias("spec_keys"))
 
 
+def flat_records(normalized: DataFrame) -> DataFrame:
+    """record_uid and fields: a map of the record's canonical values by target, of its specifications as
+    spec_<key>, and of its three ids. The first value of a name counts; empty core values are left out.
+    ``normalized``: record_uid, source_id, source_record_id, target, attribute, value, attr_ord."""
+    from knitwork.functions.text import spec_key
+
+    ids = ("record_uid", "source_id", "source_record_id")
+    spec = F.col("target") == "specifications"
+    name = F.when(spec, F.concat(F.lit("spec_"), spec_key(F.col("attribute")))).otherwise(F.col("target"))
+    named = normalized.filter(spec | F.col("value").isNotNull()).withColumn("name", name)
+    first = named.groupBy(*ids, "name").agg(F.min_by(F.coalesce("value", F.lit("")), "attr_ord").alias("value"))
+    fields = first.filter(~F.col("name").isin(*ids)).groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("own"))
+    return fields.select("record_uid", F.map_concat("own", F.create_map(*[x for i in ids for x in (F.lit(i), F.col(i).cast("string"))])).alias("fields"))
+
+
 def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None = None, config: IntegrationConfig = IntegrationConfig(), stop_after: str = "fuse", overlays: Overlays | None = None, run: Run | None = None) -> dict[str, DataFrame]:
     """Artifacts by name, up to a stage. ``gold``: uid, gold_entity. Lineage is cut where a stage's
     result feeds several later ones. ``overlays``: by artifact (mappings, predictions, fused), a

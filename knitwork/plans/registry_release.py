@@ -158,6 +158,43 @@ def cluster_signatures(spark, sf_dir):
     return rows.select("cluster_root", "members", "truth_count", F.array_join("screens", ",").alias("screens"), F.array_join("resolutions", ",").alias("resolutions"))
 
 
+@query("flat_records", """select lpad(cast(p_partkey as varchar), 8, '0') as record_uid, 'record_uid=' || lpad(cast(p_partkey as varchar), 8, '0') || ',source_id=s,source_record_id=' || p_partkey || ',spec_body_colour=' || coalesce(p_brand, '') || ',spec_screen_size=' || p_size || case when p_partkey % 3 <> 0 then ',title=' || p_name else '' end as fields from part""")
+def flat_records(spark, sf_dir):
+    from knitwork.plans.integration import flat_records as flat
+
+    p = read_table(spark, sf_dir, "part")
+    row = lambda n, t, a, v: F.struct(F.lit(n).alias("attr_ord"), F.lit(t).alias("target"), F.lit(a).alias("attribute"), v.cast("string").alias("value"))
+    rows = F.array(row(0, "title", "name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_name"))), row(1, "specifications", "Screen Size", F.col("p_size")), row(2, "specifications", "Body Colour", F.col("p_brand")), row(3, "specifications", "screen size", F.lit("later")))
+    long = p.select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("record_uid"), F.lit("s").alias("source_id"), F.col("p_partkey").cast("string").alias("source_record_id"), F.explode(rows).alias("x")).select("record_uid", "source_id", "source_record_id", "x.*")
+    entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return flat(long).select("record_uid", F.array_join(entries, ",").alias("fields"))
+
+
+@query("fusion_metrics", f"""with {CLAIMS}, k as (select count(*) as evaluated, sum((selected_value = '1-URGENT')::int)::bigint as correct from fused where attribute = 'priority'), b as (select count(*) as evaluated, count(*) as correct from fused where attribute = 'total')
+select 'curated' as kind, evaluated, correct, correct / evaluated::double as accuracy from k union all select 'primary', evaluated, correct, correct / evaluated::double from k union all select 'bootstrap', evaluated, correct, 1.0 from b""")
+def fusion_metrics(spark, sf_dir):
+    fused = fused_entities(spark, sf_dir)
+    curated = fused.filter("attribute = 'priority'").select("entity_id", "attribute", F.lit("1-urgent").alias("truth"))
+    bootstrap = fused.filter("attribute = 'total'").select("entity_id", "attribute", F.col("selected_value").alias("truth"))
+    return fusion.fusion_metrics(fused, spark.createDataFrame([], "entity_id string, primary_truth string"), bootstrap, curated).drop("gold_available")
+
+
+@query("batch_answers", f"with {CASES}, r as (select *, (row_number() over (order by route_ord) - 1) // 10 as batch_id from (select * from cases order by route_ord limit 200)) select cast(batch_id as int) as batch_id, case_id, case when match_probability >= 0.5 then 'match' else 'non_match' end as decision, greatest(0.55, least(0.9, abs(match_probability - 0.5) + 0.5)) as confidence from r")
+def batch_answers(spark, sf_dir):
+    from knitwork.operators import decisions
+
+    batched = routing.batches(routing.top_cases(cases(spark, sf_dir), 200, F.col("route_ord")), 10, F.col("route_ord"))
+    return decisions.parse_batch(decisions.stand_in_batches(batched, "linkage"), "linkage").select("batch_id", "case_id", "parsed.decision", "parsed.confidence")
+
+
+@query("claim_prompts", """select 'c' || o_orderkey as claim_id, '{"claim_id":"c' || o_orderkey || '","source_id":"o","raw_value":"' || o_orderpriority || '","normalized_value":"' || lower(o_orderpriority) || '","unit":"","extraction_confidence":0.5}' as prompt from orders""")
+def claim_prompts(spark, sf_dir):
+    from knitwork.operators import decisions
+
+    o = read_table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("claim_id"), F.lit("o").alias("source_id"), F.col("o_orderpriority").alias("raw_value"), F.lower("o_orderpriority").alias("value"), F.lit("").alias("unit"), F.lit(0.5).alias("confidence"), F.lit("x").alias("gold"))
+    return o.select("claim_id", F.to_json(decisions.claim_prompt()).alias("prompt"))
+
+
 # --- error cases
 
 def fused_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
