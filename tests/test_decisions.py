@@ -53,4 +53,5 @@ def test_means_skip_what_is_missing(spark):
     row = spark.createDataFrame([(0.5, None, 1.0)], "a double, b double, c double").select(report.mean_present("a", "b", "c").alias("m"), report.mean_present("b").alias("none")).first()
     assert row.m == 0.75 and row.none is None
     runs = spark.createDataFrame([("A0", 3), ("C-LLM", 0)], "configuration string, fusion_evaluated int")
-    assert report.missing_configurations(runs) == ["C-LLM", "B-All"]
+    assert report.missing_configurations(runs, ("A0", "C-LLM", "B-All")) == ["C-LLM", "B-All"]
+    assert report.missing_configurations(runs) == [c for c in report.REQUIRED if c != "A0"] and len(report.REQUIRED) == 12
