@@ -209,7 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joins nothing. Repeated rows give repeated results; an empty table none; other columns are not
     read. Rows of fingerprints that very many share get their component by a broadcast of at most
     ``MOST_HOT`` rows, the others by a join whose keys then are not hot."""
-    prints = cut_lineage(fingerprints(docs, id_col, text_col, width))
+    return components(cut_lineage(fingerprints(docs, id_col, text_col, width)))
+
+
+def components(prints: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates``, of a table of doc_id and fp."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = connected_components(links(distinct)).select(F.col("id").alias("fp"), "component")
     linked = cut_lineage(distinct.join(found, "fp"))

@@ -64,3 +64,31 @@ def test_rows(spark):
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(2, " "), (7, "a b c d e f"), (None, "zz yy"), (12, "x y"), (12, "other words")], key=repr)
     assert keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def brute_fingerprint(hashes):
+    return sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_first_fingerprint_is_simhash():
+    r = random.Random(5)
+    for n in (1, 4, 254, 255, 256, 700):
+        hashes = near_texts.shingles(" ".join(f"w{r.randrange(10**6)}" for _ in range(n + 4)))
+        assert int(near_texts.fingerprints(near_texts.margins(hashes))[0]) == brute_fingerprint(hashes)
+
+
+def test_least_similar_sets_share_keys():
+    r = random.Random(6)
+    for a, b, both in [(4, 5, 4), (8, 10, 8), (9, 9, 8), (18, 18, 16), (320, 400, 320)] * 20:
+        drawn = near_texts.np.array([r.getrandbits(64) for _ in range(a + b - both)], "u8")
+        x, y = near_texts.margins(drawn[:a]), near_texts.margins(drawn[a - both :])
+        apart = sum(int(p ^ q).bit_count() for p, q in zip(*(near_texts.fingerprints(m[: near_texts.CHECKED]).tolist() for m in (x, y)), strict=True))
+        assert set(near_texts.sure_keys(x, a).tolist()) & set(near_texts.sure_keys(y, b).tolist()) and apart <= near_texts.RADIUS
+
+
+def test_stage_links_by_simhash(spark, monkeypatch):
+    seen = []
+    real = near_texts.simhash.links
+    monkeypatch.setattr(near_texts.simhash, "links", lambda distinct: seen.append(distinct.columns) or real(distinct))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g "), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3] and seen
