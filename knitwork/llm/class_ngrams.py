@@ -88,13 +88,39 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(texts: DataFrame, sent, shape: Shape) -> DataFrame:
+def encode(texts: DataFrame, sent, shape: Shape) -> DataFrame:
+    """The texts as indices, each with -1 for its end: written once, so that the words are looked up
+    once for all counts that follow."""
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = Index(sent.value, shape)
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                found = [np.append(index(words_of(t)), -1) for t in batch.column(0).slice(at, 500).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))], ["at"])
+        give_back()
+
+    return cut_lineage(texts.mapInArrow(rows, "at array<int>"))
+
+
+def runs(batches: Iterator) -> Iterator:
+    """Indices of some texts on end, an end before the first: each text lies between two ends."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            yield np.r_[-1, batch.column(0).slice(at, 500).flatten().to_numpy()]
+
+
+def count_bigrams(coded: DataFrame, items: np.ndarray, shape: Shape) -> DataFrame:
     """(code, n): code = item of the token before x items + item of the token."""
+    m = shape.items
+    of = np.r_[items, m - 1]
 
     def counts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index, m, end = Index(sent.value, shape), shape.items, shape.items - 1
         table = np.zeros(m * m, np.int64)
         waiting: list[np.ndarray] = []
         size = 0
@@ -106,22 +132,19 @@ def count_bigrams(texts: DataFrame, sent, shape: Shape) -> DataFrame:
             waiting.clear()
             size = 0
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                items = np.full(len(words) + 2, end, np.int64)
-                items[1:-1] = index.items[index(words)]
-                waiting.append(items[:-1] * m + items[1:])
-                size += len(words)
-                if size > 1_000_000:
-                    settle()
+        for run in runs(batches):
+            own = of[run]
+            waiting.append(own[:-1] * m + own[1:])
+            size += len(run)
+            if size > 1_000_000:
+                settle()
         settle()
         found = np.flatnonzero(table)
         for at in range(0, len(found), 50_000):
             part = found[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part])], ["code", "n"])
 
-    return texts.mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return coded.mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -194,7 +217,7 @@ class ClassModel:
     n_end: int
 
 
-def count_neighbours(texts: DataFrame, sent, classes: np.ndarray, shape: Shape) -> DataFrame:
+def count_neighbours(coded: DataFrame, words: int, classes: np.ndarray, shape: Shape) -> DataFrame:
     """(word, at, n) of the table's words from ``top_items`` on: at < k the class after it, then k + the
     class before it, then 2 k: itself right after itself."""
     k = shape.classes + 1
@@ -202,20 +225,16 @@ def count_neighbours(texts: DataFrame, sent, classes: np.ndarray, shape: Shape)
     def counts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index, top, width = Index(sent.value, shape), shape.top_items, 2 * k + 1
-        table = np.zeros((index.size - top) * width, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = index(words_of(text))
-                own = np.full(len(at) + 2, k - 1, np.int64)
-                own[1:-1] = classes[at]
-                rare = np.flatnonzero((at >= top) & (at < index.size))
-                if len(rare):
-                    base = (at[rare] - top) * width
-                    np.add.at(table, base + own[rare + 2], 1)
-                    np.add.at(table, base + k + own[rare], 1)
-                    twice = rare[:-1][(rare[1:] == rare[:-1] + 1) & (at[rare[1:]] == at[rare[:-1]])]
-                    np.add.at(table, (at[twice] - top) * width + 2 * k, 1)
+        top, width = shape.top_items, 2 * k + 1
+        of = np.r_[classes, k - 1]
+        table = np.zeros((words - top) * width, np.int32)
+        for run in runs(batches):
+            own = of[run]
+            rare = np.flatnonzero((run >= top) & (run < words))
+            base = (run[rare].astype(np.int64) - top) * width
+            np.add.at(table, base + own[rare + 1], 1)
+            np.add.at(table, base + k + own[rare - 1], 1)
+            np.add.at(table, base[run[rare + 1] == run[rare]] + 2 * k, 1)
         found = np.flatnonzero(table)
         for a in range(0, len(found), 50_000):
             part = found[a : a + 50_000]
@@ -223,7 +242,7 @@ def count_neighbours(texts: DataFrame, sent, classes: np.ndarray, shape: Shape)
         del table
         give_back()
 
-    return texts.mapInArrow(counts, "word long, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    return coded.mapInArrow(counts, "word long, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
 
 
 def exchange_each(neighbours: DataFrame, pairs: np.ndarray, classes: np.ndarray, shape: Shape) -> DataFrame:
@@ -247,24 +266,21 @@ def exchange_each(neighbours: DataFrame, pairs: np.ndarray, classes: np.ndarray,
     return gathered.mapInArrow(best, "word long, class long")
 
 
-def count_class_pairs(texts: DataFrame, sent, classes: np.ndarray, shape: Shape) -> np.ndarray:
+def count_class_pairs(coded: DataFrame, classes: np.ndarray, shape: Shape) -> np.ndarray:
     k = shape.classes + 1
 
     def counts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index, table = Index(sent.value, shape), np.zeros(k * k, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = index(words_of(text))
-                own = np.full(len(at) + 2, k - 1, np.int64)
-                own[1:-1] = classes[at]
-                table += np.bincount(own[:-1] * k + own[1:], minlength=k * k)
+        of, table = np.r_[classes, k - 1], np.zeros(k * k, np.int64)
+        for run in runs(batches):
+            own = of[run]
+            table += np.bincount(own[:-1] * k + own[1:], minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(table)], ["code", "n"])
         give_back()
 
     out = np.zeros(k * k)
-    for r in texts.mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # k x k rows
+    for r in coded.mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # k x k rows
         out[r.code] = r.n
     return out.reshape(k, k)
 
@@ -305,21 +321,22 @@ def train(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> tuple[Cl
     n_end = texts.count()
     top = most_frequent(vocabulary, shape)
     sent = spark.sparkContext.broadcast([w for w, _ in top])
+    index = Index(sent.value, shape)
+    coded = encode(texts, sent, shape)
     m = shape.items
     table = np.zeros(m * m, np.int64)
-    for r in count_bigrams(texts, sent, shape).collect():  # at most items x items rows
+    for r in count_bigrams(coded, index.items, shape).collect():  # at most items x items rows
         table[r.code] = r.n
     own = exchange(table.reshape(m, m).astype(float), shape.classes, shape.sweeps)
-    index = Index(sent.value, shape)
     classes = own[index.items]
     k, one = shape.classes + 1, np.eye(shape.classes + 1)[own]
     pairs = one.T @ table.reshape(m, m) @ one
     group_classes = classes[index.size :].copy()
     if index.size > shape.top_items:
-        neighbours = cut_lineage(count_neighbours(texts, sent, classes, shape))
+        neighbours = cut_lineage(count_neighbours(coded, index.size, classes, shape))
         moved = exchange_each(neighbours, pairs, classes, shape).toArrow()  # a row for each word of the table
         classes[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
-        pairs = count_class_pairs(texts, sent, classes, shape)
+        pairs = count_class_pairs(coded, classes, shape)
     group = F.pmod(F.crc32(F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")), F.lit(shape.groups))
     rows = vocabulary.groupBy(group.alias("g")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
     known = np.zeros(shape.groups)
