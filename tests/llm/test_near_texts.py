@@ -92,3 +92,54 @@ def test_stage_links_by_simhash(spark, monkeypatch):
     monkeypatch.setattr(near_texts.simhash, "links", lambda distinct: seen.append(distinct.columns) or real(distinct))
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g "), (3, "other words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3] and seen
+
+
+def family(n, words, changes, seed):
+    """Copies of one text, each with a few words of its own."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(words)]
+    for _ in range(n):
+        own = base[:]
+        for _ in range(r.randrange(1, changes)):
+            own[r.randrange(words)] = f"w{r.randrange(5000)}"
+        yield " ".join(own)
+
+
+def test_texts_of_a_large_family_are_gathered_few_times(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "TILE", 64)
+    rows = list(enumerate([*family(300, 120, 6, 7), *family(60, 40, 8, 8), *family(40, 9, 3, 9)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gathered, real = [], type(docs).mapInArrow
+
+    def counted(df, *args, **kwargs):
+        if "key" in df.columns and "text" in df.columns:
+            gathered.append(df.count())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    got = keep_one_of_similar(docs)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(smallest(rows))
+    assert 0 < sum(gathered) <= 8 * len(rows)
+
+
+def test_rows_apart_in_a_crowded_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "TILE", 4)
+    rows = spark.createDataFrame([(k, r) for k in (1, 2) for r in range(40)], "key long, row long")
+    for seed, chance in [(1, 0.0), (2, 0.5), (3, 0.9), (4, 1.0)]:
+        r = random.Random(seed)
+        part = [0 if r.random() < chance else i for i in range(40)]
+        parts = spark.createDataFrame([(i, p) for i, p in enumerate(part) if p != i], "id long, component long")
+        tiles = {}
+        for x in near_texts.across(rows, parts).collect():
+            tiles.setdefault(x.key, []).append(x.row)
+        met = {p for t in tiles.values() for p in combinations(sorted(t), 2)}
+        assert all((a, b) in met for a, b in combinations(range(40), 2) if part[a] != part[b])
+        assert met or len(set(part)) == 1
+
+
+def test_vast_components_go_by_key(spark, monkeypatch):
+    rows = list(enumerate([*family(80, 120, 8, 10), *family(30, 30, 6, 11), *family(20, 8, 3, 12)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 40):
+        monkeypatch.setattr(near_texts, "MOST", most)
+        assert sorted(x.doc_id for x in keep_one_of_similar(docs).collect()) == sorted(smallest(rows))
