@@ -42,12 +42,20 @@ def blocking_keys(records: DataFrame, config: BlockingConfig = BlockingConfig())
         one((brand != "") & (screen != ""), _key("spec_signature", F.concat_ws("|", brand, F.lit("screen"), screen))),
         one((brand != "") & (resolution != ""), _key("spec_signature", F.concat_ws("|", brand, F.lit("resolution"), resolution))),
     )))
-    keys = records.select("uid", F.explode(direct).alias("k")).select("uid", "k.rule", "k.key")
+    records = _dealt(records, "uid")
+    # by uid already, so that repeated keys of one uid go without another exchange
+    keys = records.select("uid", F.explode(direct).alias("k")).select("uid", "k.rule", "k.key").distinct()
     chosen = records.select("uid", category.alias("category"), F.explode(F.slice(informative_tokens(title), 1, config.title_token_limit)).alias("token"))
     rare = chosen.join(token_frequencies(records).filter(F.col("df") <= config.rare_token_max_frequency), "token")
     titled = rare.select("uid", F.lit("rare_title_token").alias("rule"), F.col("token").alias("key"))
     with_category = rare.filter("category <> ''").select("uid", F.lit("category_title_token").alias("rule"), F.concat_ws("|", "category", "token").alias("key"))
-    return keys.unionByName(titled).unionByName(with_category).distinct()
+    return keys.unionByName(titled.distinct()).unionByName(with_category.distinct())
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions, a fixed number that isn't merged again: a table of one or two row
+    groups would be worked on in as many tasks, and rows that are short here grow manifold when exploded."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def block_sizes(keys: DataFrame) -> DataFrame:
