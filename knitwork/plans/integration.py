@@ -102,7 +102,7 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
     products = keep("products", lambda: product_records(out["normalized"]))
     if done("normalize"):
         return out
-    keep("pairs", lambda: blocking.candidate_pairs(blocking.blocking_keys(products, config.blocking), config.blocking))
+    keep("pairs", lambda: blocking.candidate_pairs(blocking.blocking_keys(products, config.blocking), config.blocking, blocking.RULES))
     if done("block"):
         return out
     features = matching.pair_features(out["pairs"], products)

@@ -305,7 +305,7 @@ def block_sizes(spark, sf_dir):
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.candidate_pairs(blocking.blocking_keys(products(spark, sf_dir), BLOCKS), BLOCKS)
+    return blocking.candidate_pairs(blocking.blocking_keys(products(spark, sf_dir), BLOCKS), BLOCKS, blocking.RULES)
 
 
 @query("candidate_pairs", f"with {KEYS} select left_uid, right_uid, array_to_string(rules, ',') as rules, len(rules) as blocking_score from pairs")
@@ -324,9 +324,8 @@ select records, candidate_pairs, oversized_blocks, round(f / t::double, 9) as pa
 def blocking_metrics(spark, sf_dir):
     p = products(spark, sf_dir)
     keys = blocking.blocking_keys(p, BLOCKS)
-    side = lambda u: p.select(F.col("uid").alias(u), "title", "brand")
-    truth = side("left_uid").join(side("right_uid"), ["title", "brand"]).filter("left_uid < right_uid").select("left_uid", "right_uid")
-    m = blocking.blocking_metrics(p, keys, blocking.candidate_pairs(keys, BLOCKS), truth, BLOCKS)
+    same = F.when(F.col("title").isNotNull() & F.col("brand").isNotNull(), F.struct("title", "brand"))
+    m = blocking.blocking_metrics(p, keys, blocking.candidate_pairs(keys, BLOCKS, blocking.RULES), p.select("uid", same.alias("entity")), BLOCKS)
     return m.select("records", "candidate_pairs", "oversized_blocks", *[F.round(c, 9).alias(c) for c in ("pair_completeness", "reduction_ratio", "candidates_per_record", "duplicate_rate")])
 
 
