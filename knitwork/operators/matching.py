@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knitwork.functions.text import char_similarity, jaccard, model_number, model_tokens, text, tokens
+from knitwork.functions.text import jaccard_of_sets, model_number, model_tokens, qgrams, text, tokens
 from knitwork.functions.values import as_float, f1, price_similarity, safe_div
 
 FEATURES = ("title_token_jaccard", "title_char_similarity", "brand_exact", "brand_conflict", "model_exact", "model_token_overlap", "model_conflict", "category_exact", "price_relative_similarity", "spec_key_jaccard", "blocking_rule_count", "same_source")
 GRID = tuple(round(0.2 + 0.05 * i, 2) for i in range(15))
 
 
-def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
+def pair_features(pairs: DataFrame, records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The twelve features. ``records``: uid, source_id, title, brand, model_number, category, price,
-    spec_keys (array of the names of everything but core attributes)."""
-    fields = ("source_id", "title", "brand", "model_number", "category", "price", "spec_keys")
-    side = lambda p: records.select(F.col("uid").alias(f"{p}_uid"), F.struct(*fields).alias(p))
+    spec_keys (array of the names of everything but core attributes). ``carry``: columns of the records
+    that come along, as left_<name> and right_<name>.
+
+    Tokens, 3-grams and canonical forms are made once a record, not once a pair, and a pair only
+    compares them. Records are merged to the pairs by sorting: by the size of their file, a good
+    deal less than that of their rows, they would be broadcast, and all go through the driver."""
+    low = lambda c: F.lower(text(F.col(c)))
+    model = model_number(F.col("model_number"))
+    made = records.select(
+        "uid", "source_id", F.array_distinct(tokens(F.col("title"))).alias("tokens"), F.array_distinct(qgrams(low("title"), 3)).alias("grams"), low("brand").alias("brand"),
+        model.alias("model"), F.array_distinct(model_tokens(model)).alias("model_tokens"), low("category").alias("category"), as_float(F.col("price")).alias("price"),
+        F.array_distinct("spec_keys").alias("spec_keys"), *[F.col(c).alias(f"carried_{c}") for c in carry],
+    )
+    side = lambda p: made.select(*[F.col(c).alias(f"{p}_{c}") for c in made.columns]).hint("merge")
     both = pairs.join(side("left"), "left_uid").join(side("right"), "right_uid")
-    part = lambda f, g=lambda c: c: (g(F.col(f"left.{f}")), g(F.col(f"right.{f}")))
+    part = lambda f: (F.col(f"left_{f}"), F.col(f"right_{f}"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
 
     def same(ab: tuple[Column, Column]) -> Column:
@@ -27,14 +38,14 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     def clash(ab: tuple[Column, Column]) -> Column:
         return flag((ab[0] != "") & (ab[1] != "") & (ab[0] != ab[1]))
 
-    low = lambda c: F.lower(text(c))
-    brand, model, category = part("brand", low), part("model_number", model_number), part("category", low)
+    brand, models, category = part("brand"), part("model"), part("category")
     return both.select(
-        "left_uid", "right_uid", "rules", jaccard(*part("title", tokens)).alias("title_token_jaccard"), char_similarity(*part("title")).alias("title_char_similarity"),
-        same(brand).alias("brand_exact"), clash(brand).alias("brand_conflict"), same(model).alias("model_exact"),
-        jaccard(model_tokens(model[0]), model_tokens(model[1])).alias("model_token_overlap"), clash(model).alias("model_conflict"), same(category).alias("category_exact"),
-        price_similarity(*part("price", as_float)).alias("price_relative_similarity"), jaccard(*part("spec_keys")).alias("spec_key_jaccard"),
-        F.size("rules").cast("double").alias("blocking_rule_count"), flag(F.col("left.source_id") == F.col("right.source_id")).alias("same_source"),
+        "left_uid", "right_uid", "rules", jaccard_of_sets(*part("tokens")).alias("title_token_jaccard"), jaccard_of_sets(*part("grams")).alias("title_char_similarity"),
+        same(brand).alias("brand_exact"), clash(brand).alias("brand_conflict"), same(models).alias("model_exact"),
+        jaccard_of_sets(*part("model_tokens")).alias("model_token_overlap"), clash(models).alias("model_conflict"), same(category).alias("category_exact"),
+        price_similarity(*part("price")).alias("price_relative_similarity"), jaccard_of_sets(*part("spec_keys")).alias("spec_key_jaccard"),
+        F.size("rules").cast("double").alias("blocking_rule_count"), flag(F.col("left_source_id") == F.col("right_source_id")).alias("same_source"),
+        *[F.col(f"{p}_carried_{c}").alias(f"{p}_{c}") for c in carry for p in ("left", "right")],
     )
 
 
