@@ -329,8 +329,8 @@ def blocking_metrics(spark, sf_dir):
     return m.select("records", "candidate_pairs", "oversized_blocks", *[F.round(c, 9).alias(c) for c in ("pair_completeness", "reduction_ratio", "candidates_per_record", "duplicate_rate")])
 
 
-def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.pair_features(pairs_of(spark, sf_dir), products(spark, sf_dir))
+def features_of(spark: SparkSession, sf_dir: str, **carried: Column) -> DataFrame:
+    return matching.pair_features(pairs_of(spark, sf_dir), products(spark, sf_dir).withColumns(carried), tuple(carried))
 
 
 def sql_pair(f: str) -> tuple[str, str]:
@@ -362,10 +362,8 @@ def split_assignment(spark, sf_dir):
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).select("uid", "title", "brand", "screen")
     entity = F.concat_ws("|", "brand", "title")
-    side = lambda s: p.select(F.col("uid").alias(f"{s}_uid"), entity.alias(f"{s}_gold"), matching.split_of(entity, F.col("uid")).alias(f"{s}_split"))
-    f = features_of(spark, sf_dir).join(side("left"), "left_uid").join(side("right"), "right_uid")
+    f = features_of(spark, sf_dir, gold=entity, split=matching.split_of(entity, F.col("uid")))
     return f.withColumn("label", matching.pair_label(F.col("left_gold"), F.col("right_gold"))).withColumn("split", matching.pair_split(F.col("left_split"), F.col("right_split")))
 
 
