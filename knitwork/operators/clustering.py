@@ -79,7 +79,7 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, config: ClusterCo
 
     Merges never cross components of the merge edges, so each is merged on its own, by a cogroup
     on the component. Records without such an edge are their own clusters and meet no Python."""
-    strong = edges.filter(F.col("match_probability") >= config.merge_probability).select("left_uid", "right_uid", "match_probability")
+    strong = cut_lineage(edges.filter(F.col("match_probability") >= config.merge_probability).select("left_uid", "right_uid", "match_probability"))
     found = connected_components(strong, "left_uid", "right_uid").select(F.col("id").alias("uid"), "component")
     rows = records.join(found, "uid").select("component", "uid", text(F.col("source_id")).alias("source_id"), F.lower(text(F.col("brand"))).alias("brand"), model_families(F.array(text(F.col("model_number")))).alias("families"), text(F.col("screen")).alias("screen"), text(F.col("resolution")).alias("resolution"))
     linked = strong.join(found.withColumnRenamed("uid", "left_uid"), "left_uid").select(F.col("component").alias("linked_component"), "left_uid", "right_uid", "match_probability")
