@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from knitwork.functions.text import char_similarity
+from knitwork.functions.text import jaccard_of_sets, qgrams
 from knitwork.functions.values import as_float, content_id
 
 TEXT_ATTRIBUTES = ("title", "description")
@@ -25,43 +26,44 @@ def fuse(claims: DataFrame) -> DataFrame:
     all numbers: the value nearest the median; else the most frequent. Ties go to the first claim.
 
     Everything is decided on distinct values with their counts, so a group's size is that of its
-    vocabulary; ids are collected last. Only groups of at most ``MEDOID_LIMIT`` values meet
-    themselves pairwise, beyond it the most frequent, longest value stands in, as in small ones."""
+    vocabulary. They are dealt by group once, and all steps are windows over the same order. Only groups
+    of at most ``MEDOID_LIMIT`` values meet themselves pairwise, beyond it the most frequent, longest
+    value stands in, as in small ones."""
     c = claims.select(*KEY, "claim_id", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), "ord")
-    per_value = c.filter("value <> ''").groupBy(*KEY, "value").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    per_value = per_value.withColumn("number", as_float(F.col("value")))
-    groups = per_value.groupBy(*KEY).agg(F.bool_and(F.col("number").isNotNull()).alias("numeric"), F.count("*").alias("kinds"))
-    kind = F.when(F.col("attribute").isin(*TEXT_ATTRIBUTES), "text_medoid").when(F.col("numeric"), "numeric_median").otherwise("majority_vote")
-    groups = groups.withColumn("method", kind)
-    tagged = per_value.join(groups, KEY)
-    first = lambda *order: F.min_by("value", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("selected_value")
-    majority = tagged.filter("method = 'majority_vote'").groupBy(*KEY).agg(first(-F.col("n"), F.col("ord")))
-    middle = claims_median(c, groups)
-    numeric = tagged.filter("method = 'numeric_median'").join(middle, KEY).groupBy(*KEY).agg(first(F.abs(F.col("number") - F.col("middle")), F.col("ord")))
-    texts = tagged.filter("method = 'text_medoid'")
-    rank = (-F.col("n"), -F.length("value"), F.col("value"))
-    large = texts.filter((F.col("kinds") == 1) | (F.col("kinds") > MEDOID_LIMIT)).groupBy(*KEY).agg(first(*rank))
-    small = texts.filter(F.col("kinds").between(2, MEDOID_LIMIT)).select(*KEY, "value", "n")
-    other = small.select(*KEY, F.col("value").alias("other"))
-    scored = small.join(other, KEY).filter("value <> other").groupBy(*KEY, "value", "n").agg(F.round(F.avg(char_similarity(F.col("value"), F.col("other"))), 9).alias("score"))
-    medoid = scored.groupBy(*KEY).agg(first(-F.col("score"), *(-F.length("value"), -F.col("n"), F.col("value"))))
-    chosen = majority.unionByName(numeric).unionByName(large).unionByName(medoid)
-    units = c.filter("unit <> ''").groupBy(*KEY, "unit").agg(F.count("*").alias("n"), F.min("ord").alias("ord")).groupBy(*KEY).agg(F.min_by("unit", F.struct((-F.col("n")).alias("a"), F.col("ord").alias("b"))).alias("selected_unit"))
-    out = c.join(chosen, KEY, "left").join(groups.select(*KEY, "method"), KEY, "left").withColumn("selected_value", F.coalesce("selected_value", F.lit("")))
-    supports = F.col("value") == F.col("selected_value")
-    fused = out.groupBy(*KEY, "selected_value").agg(
-        F.coalesce(F.max("method"), F.lit("majority_vote")).alias("fusion_method"), (F.sum(supports.cast("int")) / F.count("*")).alias("confidence"), F.count("*").alias("claims"),
-        F.array_sort(F.collect_list(F.when(supports, F.col("claim_id")))).alias("supporting_claim_ids"), F.array_sort(F.collect_list(F.when(~supports, F.col("claim_id")))).alias("contradicting_claim_ids"),
+    group = Window.partitionBy(*KEY)
+    col = F.col
+    first = lambda ok, *order: F.min_by("value", F.when(ok, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))).over(group)
+    given, textual = col("value") != "", col("attribute").isin(*TEXT_ATTRIBUTES)
+    rows = c.groupBy(*KEY, "value").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.collect_list("claim_id").alias("ids"))
+    rows = rows.withColumn("number", F.when(given, as_float(col("value")))).withColumn("grams", F.when(textual & given, F.array_distinct(qgrams(F.lower("value"), 3))))
+    rows = rows.select(
+        "*", F.coalesce(F.bool_and(F.when(given, col("number").isNotNull())).over(group), F.lit(False)).alias("numeric"), F.count(F.when(given, 1)).over(group).alias("kinds"),
+        first(given, -col("n"), col("ord"), col("value")).alias("majority"), first(given & textual, -col("n"), -F.length("value"), col("value")).alias("longest"),
+    )
+    # a group without any value has no method of its own
+    method = F.when(col("kinds") == 0, "majority_vote").when(textual, "text_medoid").when(col("numeric"), "numeric_median").otherwise("majority_vote")
+    rows = rows.withColumn("method", method)
+    few = given & (col("method") == "text_medoid") & col("kinds").between(2, MEDOID_LIMIT)
+    rows = rows.select(
+        "*", F.percentile(F.when(col("method") == "numeric_median", col("number")), 0.5, col("n")).over(group).alias("middle"),
+        F.collect_list(F.when(few, F.struct("value", "grams"))).over(group).alias("others"),
+    )
+    likeness = F.aggregate(F.filter("others", lambda o: o["value"] != col("value")), F.lit(0.0), lambda total, o: total + jaccard_of_sets(col("grams"), o["grams"]))
+    rows = rows.withColumn("score", F.when(few, F.round(likeness / (col("kinds") - 1), 9))).drop("others", "grams")
+    nearest = first(given & (col("method") == "numeric_median"), F.abs(col("number") - col("middle")), col("ord"), col("value"))
+    medoid = first(few, -col("score"), -F.length("value"), -col("n"), col("value"))
+    chosen = F.when(col("method") == "numeric_median", nearest).when(col("method") == "text_medoid", F.coalesce(medoid, "longest")).otherwise(col("majority"))
+    rows = rows.withColumn("selected_value", F.coalesce(chosen, F.lit("")))
+    supports = col("value") == col("selected_value")
+    fused = rows.groupBy(*KEY, "selected_value").agg(
+        F.max("method").alias("fusion_method"), (F.sum(F.when(supports, col("n")).otherwise(0)) / F.sum("n")).alias("confidence"), F.sum("n").alias("claims"),
+        F.array_sort(F.flatten(F.collect_list(F.when(supports, col("ids"))))).alias("supporting_claim_ids"), F.array_sort(F.flatten(F.collect_list(F.when(~supports, col("ids"))))).alias("contradicting_claim_ids"),
         F.array_sort(F.collect_set("value")).alias("alternative_values"),
     )
+    units = c.filter("unit <> ''").groupBy(*KEY, "unit").agg(F.count("*").alias("n"), F.min("ord").alias("ord")).groupBy(*KEY).agg(F.min_by("unit", F.struct((-F.col("n")).alias("a"), F.col("ord").alias("b"))).alias("selected_unit"))
     return fused.join(units, KEY, "left").withColumn("fused_value_id", content_id("fused_", 20, *map(F.col, KEY)))
 
 
-def claims_median(claims: DataFrame, groups: DataFrame) -> DataFrame:
-    numbers = claims.filter("value <> ''").join(groups.filter("method = 'numeric_median'").select(*KEY), KEY)
-    return numbers.groupBy(*KEY).agg(F.percentile(as_float(F.col("value")), 0.5).alias("middle"))
-
-
 def integrated_entities(fused: DataFrame, entities: DataFrame) -> DataFrame:
     """canonical payload and provenance per entity, as JSON with sorted keys; {} where nothing fused."""
     entries = lambda v: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", v)))))
@@ -69,16 +71,28 @@ def integrated_entities(fused: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.select("entity_id").distinct().join(rows, "entity_id", "left").select("entity_id", F.coalesce("canonical_payload", F.lit("{}")).alias("canonical_payload"), F.coalesce("provenance", F.lit("{}")).alias("provenance"))
 
 
+def is_unsupported() -> Column:
+    return F.lower(F.trim("selected_value")).isin(*UNSUPPORTED)
+
+
+def is_high_conflict(least: int = 4) -> Column:
+    return F.size("alternative_values") >= least
+
+
+def is_low_support(below: float = 0.67) -> Column:
+    return (F.size("alternative_values") > 1) | (F.col("confidence") < below)
+
+
 def unsupported(fused: DataFrame) -> DataFrame:
-    return fused.filter(F.lower(F.trim("selected_value")).isin(*UNSUPPORTED))
+    return fused.filter(is_unsupported())
 
 
 def high_conflict(fused: DataFrame, least: int = 4) -> DataFrame:
-    return fused.filter(F.size("alternative_values") >= least)
+    return fused.filter(is_high_conflict(least))
 
 
 def low_support(fused: DataFrame, below: float = 0.67) -> DataFrame:
-    return fused.filter((F.size("alternative_values") > 1) | (F.col("confidence") < below))
+    return fused.filter(is_low_support(below))
 
 
 def fusion_accuracy(fused: DataFrame, gold: DataFrame, primary: DataFrame) -> DataFrame:

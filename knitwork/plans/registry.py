@@ -482,11 +482,8 @@ def integrated_entities(spark, sf_dir):
 @query("fusion_errors", f"with {CLAIMS} select attribute, count(*) filter (kinds >= 4) as high_conflict, count(*) filter (kinds > 1 or confidence < 0.67) as low_support, count(*) filter (lower(trim(selected_value)) in ('', 'no info', 'unknown', 'n/a', 'none')) as unsupported from fused group by 1")
 def fusion_errors(spark, sf_dir):
     f = fusion.fuse(order_claims(spark, sf_dir))
-    n = lambda df, name: df.groupBy("attribute").agg(F.count("*").alias(name))
-    out = f.select("attribute").distinct()
-    for name, df in (("high_conflict", fusion.high_conflict(f)), ("low_support", fusion.low_support(f)), ("unsupported", fusion.unsupported(f))):
-        out = out.join(n(df, name), "attribute", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    return out
+    n = lambda ok, name: F.count(F.when(ok, 1)).alias(name)
+    return f.groupBy("attribute").agg(n(fusion.is_high_conflict(), "high_conflict"), n(fusion.is_low_support(), "low_support"), n(fusion.is_unsupported(), "unsupported"))
 
 
 @query("fusion_accuracy", f"with {CLAIMS} select count(*) as evaluated, sum((selected_value = '1-URGENT')::int)::bigint as correct, avg((selected_value = '1-URGENT')::int) as accuracy from fused where attribute = 'priority'")
