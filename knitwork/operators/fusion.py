@@ -118,10 +118,10 @@ def fusion_metrics(fused: DataFrame, primary: DataFrame, bootstrap: DataFrame |
     """A row for each gold table there is (kind: bootstrap, curated) with evaluated, correct and accuracy,
     and one of kind primary: the curated row where such gold was given, else the bootstrap one."""
     none = fused.sparkSession.createDataFrame([(0, 0, None)], "evaluated long, correct long, accuracy double")
-    rows = {k: (fusion_accuracy(fused, gold, primary) if gold is not None else none).withColumn("gold_available", F.lit(gold is not None)) for k, gold in (("bootstrap", bootstrap), ("curated", curated))}
-    rows["primary"] = rows["curated" if curated is not None else "bootstrap"]
-    out = None
-    for kind, row in rows.items():
-        row = row.withColumn("kind", F.lit(kind))
+    chosen, out = "curated" if curated is not None else "bootstrap", None
+    for kind, gold in (("bootstrap", bootstrap), ("curated", curated)):
+        row = (fusion_accuracy(fused, gold, primary) if gold is not None else none).withColumn("gold_available", F.lit(gold is not None))
+        # the primary row is the chosen one under another name, not looked up again
+        row = row.withColumn("kind", F.explode(F.array(*map(F.lit, (kind, "primary") if kind == chosen else (kind,)))))
         out = row if out is None else out.unionByName(row)
     return out.select("kind", "gold_available", "evaluated", "correct", "accuracy")

@@ -173,7 +173,7 @@ def flat_records(spark, sf_dir):
 @query("fusion_metrics", f"""with {CLAIMS}, k as (select count(*) as evaluated, sum((selected_value = '1-URGENT')::int)::bigint as correct from fused where attribute = 'priority'), b as (select count(*) as evaluated, count(*) as correct from fused where attribute = 'total')
 select 'curated' as kind, evaluated, correct, correct / evaluated::double as accuracy from k union all select 'primary', evaluated, correct, correct / evaluated::double from k union all select 'bootstrap', evaluated, correct, 1.0 from b""")
 def fusion_metrics(spark, sf_dir):
-    fused = fused_entities(spark, sf_dir)
+    fused = cut_lineage(fused_entities(spark, sf_dir).select("entity_id", "attribute", "selected_value"))
     curated = fused.filter("attribute = 'priority'").select("entity_id", "attribute", F.lit("1-urgent").alias("truth"))
     bootstrap = fused.filter("attribute = 'total'").select("entity_id", "attribute", F.col("selected_value").alias("truth"))
     return fusion.fusion_metrics(fused, spark.createDataFrame([], "entity_id string, primary_truth string"), bootstrap, curated).drop("gold_available")
