@@ -17,7 +17,7 @@ KEY = ["entity_id", "attribute"]
 
 def extract_claims(values: DataFrame, memberships: DataFrame) -> DataFrame:
     """Values of records that are in an entity. ``values``: record_uid, attribute, value, unit, confidence, ord."""
-    joined = values.join(memberships.select(F.col("uid").alias("record_uid"), "entity_id"), "record_uid")
+    joined = values.join(memberships.select(F.col("uid").alias("record_uid"), "entity_id").hint("merge"), "record_uid")
     return joined.withColumn("claim_id", content_id("claim_", 20, F.col("entity_id"), F.col("record_uid"), F.col("attribute"), F.col("value"), F.col("ord").cast("string")))
 
 
@@ -68,7 +68,7 @@ def integrated_entities(fused: DataFrame, entities: DataFrame) -> DataFrame:
     """canonical payload and provenance per entity, as JSON with sorted keys; {} where nothing fused."""
     entries = lambda v: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", v)))))
     rows = fused.groupBy("entity_id").agg(entries(F.col("selected_value")).alias("canonical_payload"), entries(F.col("supporting_claim_ids")).alias("provenance"))
-    return entities.select("entity_id").distinct().join(rows, "entity_id", "left").select("entity_id", F.coalesce("canonical_payload", F.lit("{}")).alias("canonical_payload"), F.coalesce("provenance", F.lit("{}")).alias("provenance"))
+    return entities.select("entity_id").distinct().join(rows.hint("merge"), "entity_id", "left").select("entity_id", F.coalesce("canonical_payload", F.lit("{}")).alias("canonical_payload"), F.coalesce("provenance", F.lit("{}")).alias("provenance"))
 
 
 def is_unsupported() -> Column:

@@ -105,10 +105,9 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
     keep("pairs", lambda: blocking.candidate_pairs(blocking.blocking_keys(products, config.blocking), config.blocking, blocking.RULES))
     if done("block"):
         return out
-    features = matching.pair_features(out["pairs"], products)
-    split = products.select("uid").join(gold, "uid", "left").select("uid", "gold_entity", matching.split_of(F.col("gold_entity"), F.col("uid")).alias("split"))
-    side = lambda p: split.select(F.col("uid").alias(f"{p}_uid"), F.col("gold_entity").alias(f"{p}_gold"), F.col("split").alias(f"{p}_split"))
-    labelled = features.join(side("left"), "left_uid").join(side("right"), "right_uid").withColumn("label", matching.pair_label(F.col("left_gold"), F.col("right_gold"))).withColumn("split", matching.pair_split(F.col("left_split"), F.col("right_split")))
+    known = products.join(gold.select("uid", "gold_entity").hint("merge"), "uid", "left").withColumn("split", matching.split_of(F.col("gold_entity"), F.col("uid")))
+    features = matching.pair_features(out["pairs"], known, carry=("gold_entity", "split")).withColumnsRenamed({"left_gold_entity": "left_gold", "right_gold_entity": "right_gold"})
+    labelled = features.withColumn("label", matching.pair_label(F.col("left_gold"), F.col("right_gold"))).withColumn("split", matching.pair_split(F.col("left_split"), F.col("right_split")))
 
     def predict() -> DataFrame:
         scored = matching.match_model(cut_lineage(labelled))
@@ -131,7 +130,7 @@ def integrate(spark: SparkSession, records: DataFrame, gold: DataFrame | None =
     constrained = keep("members", members)
     keep("merge_log", lambda: (members(), merged[1])[1])
     keep("clusters", lambda: clustering.cluster_rows(constrained, products, gold))
-    keep("memberships", lambda: constrained.join(out["clusters"].select("cluster_root", "entity_id"), "cluster_root"))
+    keep("memberships", lambda: constrained.join(out["clusters"].select("cluster_root", "entity_id").hint("merge"), "cluster_root"))
     components = keep("component_members", lambda: clustering.component_members(products, edges, config.clustering))
     keep("component_clusters", lambda: clustering.cluster_rows(components, products, gold, prefix="cc"))
     level = lambda name, m: clustering.cluster_pair_metrics(m, gold).withColumn("level", F.lit(name))
